@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import suffix_dedup, word_windows
+from tandem.llm import byte_bpe, decontaminate, media, suffix_dedup, token_counts, word_windows
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": decontaminate.query,
         "op3_suffix_dedup": suffix_dedup.query,
+        "op4_token_counts": token_counts.query,
+        "op6_media": media.query,
+        "op8_byte_bpe": byte_bpe.query,
         "op9_word_windows": word_windows.query,
     }
 
