@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import byte_bpe, decontaminate, media, suffix_dedup, token_counts, word_windows
+from tandem.llm import byte_bpe, decontaminate, media, suffix_dedup, token_counts, toxicity, url_filter, word_windows
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": suffix_dedup.query,
         "op4_token_counts": token_counts.query,
         "op6_media": media.query,
+        "op7_toxicity": toxicity.query,
         "op8_byte_bpe": byte_bpe.query,
         "op9_word_windows": word_windows.query,
+        "op10_url_filter": url_filter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": url_filter.ORACLE_SQL}
