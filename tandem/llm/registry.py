@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import byte_bpe, decontaminate, media, suffix_dedup, token_counts, toxicity, url_filter, word_windows
+from tandem.llm import byte_bpe, decontaminate, licenses, media, near_dups, suffix_dedup, token_counts, toxicity, url_filter, word_windows
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": licenses.query,
         "op2_decontaminate": decontaminate.query,
         "op3_suffix_dedup": suffix_dedup.query,
         "op4_token_counts": token_counts.query,
+        "op5_near_dups": near_dups.query,
         "op6_media": media.query,
         "op7_toxicity": toxicity.query,
         "op8_byte_bpe": byte_bpe.query,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_licenses": licenses.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
