@@ -33,7 +33,8 @@ from tandem.llm.util import NULL_ID, U64, SpanHash, binary_column, mix, partitio
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 60_000  # a document's place in its chunk takes 16 bits
 HOT = 4096  # runs of one minimiser beyond which its windows are dealt out one by one
-BATCH_UNITS = 1 << 20
+BLOCK_BYTES = 1 << 20  # of a chunk's texts that are hashed at a time
+BATCH_BYTES = 1 << 20  # of strings that an evaluator gets at a time
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -156,7 +157,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
         x = np.ascontiguousarray(x)
         parts.append(np.array([ord(x.dtype.char), x.dtype.itemsize, len(x)], np.int64).tobytes())
         parts.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() if len(x) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unsqueeze(blob: bytes) -> list[np.ndarray]:
@@ -173,7 +174,7 @@ def unsqueeze(blob: bytes) -> list[np.ndarray]:
 
 def pack_rows(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -197,13 +198,61 @@ def packer(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return pack
 
 
-def load(kind: Kind, blob: bytes, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, Text]:
+def load(blob: bytes, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's rows, their ids, their texts joined, and where these begin."""
     rows = unpack_rows(blob)
     ids = pa.compute.fill_null(rows.column(id_col).cast(pa.int64()), NULL_ID).to_numpy()
-    return rows, ids, split(kind, *text_bytes(rows.column(text_col)))
+    return rows, ids, *text_bytes(rows.column(text_col))
 
 
-def by_bucket(runs: Runs, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about BLOCK_BYTES, which are hashed together."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
+        yield first, last
+        first = last
+
+
+@dataclass
+class Scan:
+    """All super-k-mers of a chunk: document, first window (by the document's units), windows, minimiser; the place and
+    size of their strings in data, and the strings' hashes. data has the texts as `split` makes them."""
+
+    doc: np.ndarray
+    unit: np.ndarray
+    count: np.ndarray
+    value: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    name: np.ndarray
+    data: np.ndarray
+
+    def __getitem__(self, which: np.ndarray) -> Scan:
+        return Scan(*(getattr(self, f)[which] for f in ("doc", "unit", "count", "value", "begin", "size", "name")), self.data)
+
+
+def scan(kind: Kind, data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None) -> Scan:
+    """hot: values whose windows become strings of their own; only these are returned then."""
+    parts, texts, base = [], [], 0
+    for a, b in blocks(offsets):
+        text = split(kind, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        hashes = SpanHash(text.data)
+        runs = super_kmers(kind, text, hashes)
+        if hot is not None:
+            keep = np.isin(runs.value, hot)
+            n = runs.count[keep]
+            runs = Runs(ranges(runs.start[keep], n), np.ones(int(n.sum()), np.int64), np.repeat(runs.doc[keep], n), np.repeat(runs.value[keep], n))
+        begin = text.starts[runs.start]
+        end = text.ends[runs.start + runs.count + kind.window - 2]
+        parts.append((runs.doc + a, runs.start - text.first[runs.doc], runs.count, runs.value, begin + base, end - begin, hashes.of(begin, end)))
+        texts.append(text.data)
+        base += len(text.data)
+    kinds = (np.int64, np.int64, np.int64, U64, np.int64, np.int64, U64)
+    return Scan(*(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)), np.concatenate(texts) if texts else data)
+
+
+def by_bucket(runs: Scan, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct minimisers with documents and runs, in order of bucket and value."""
     key = np.sort(runs.value << U64(16) | runs.doc.astype(U64))
     value = key >> U64(16)
@@ -224,8 +273,8 @@ def counter(kind: Kind, id_col: str, text_col: str, buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, text = load(kind, blob.as_buffer(), id_col, text_col)
-                bucket, value, docs, runs = by_bucket(super_kmers(kind, text, SpanHash(text.data)), buckets)
+                _, _, data, offsets = load(blob.as_buffer(), id_col, text_col)
+                bucket, value, docs, runs = by_bucket(scan(kind, data, offsets), buckets)
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
                 names, blobs = bucket[at].tolist(), []
                 for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
@@ -268,17 +317,19 @@ def sender(kind: Kind, id_col: str, text_col: str, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, flags in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if not flags:
-                    continue
-                _, ids, text = load(kind, blob.as_buffer(), id_col, text_col)
-                hashes = SpanHash(text.data)
-                runs = super_kmers(kind, text, hashes)
-                yield from strings(kind, chunk, ids, text, hashes, runs, marks(runs, flags, buckets), buckets)
+                _, ids, data, offsets = load(blob.as_buffer(), id_col, text_col)
+                runs = scan(kind, data, offsets)
+                mark = marks(runs, flags, buckets)
+                some = runs[mark == 1]
+                yield from strings(chunk, ids, some, mix(some.value + U64(1)), buckets)
+                if (mark == 2).any():
+                    hot = scan(kind, data, offsets, np.unique(runs.value[mark == 2]))
+                    yield from strings(chunk, ids, hot, hot.name, buckets)
 
     return send
 
 
-def marks(runs: Runs, flags: list[dict], buckets: int) -> np.ndarray:
+def marks(runs: Scan, flags: list[dict], buckets: int) -> np.ndarray:
     """The flag of each run, from those of the chunk's distinct minimisers."""
     bucket, value, _, _ = by_bucket(runs, buckets)
     mark = np.zeros(len(value), np.uint8)
@@ -289,41 +340,42 @@ def marks(runs: Runs, flags: list[dict], buckets: int) -> np.ndarray:
     return mark[order][np.searchsorted(value[order], runs.value)]
 
 
-def strings(kind: Kind, chunk: int, ids: np.ndarray, text: Text, hashes: SpanHash, runs: Runs, mark: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    one, hot = mark == 1, mark == 2
-    start = np.concatenate([runs.start[one], ranges(runs.start[hot], runs.count[hot])])
-    count = np.concatenate([runs.count[one], np.ones(int(runs.count[hot].sum()), np.int64)])
-    doc = np.concatenate([runs.doc[one], np.repeat(runs.doc[hot], runs.count[hot])])
-    if not len(start):
-        return
-    begin = text.starts[start]
-    size = text.ends[start + count + kind.window - 2] - begin
-    name = hashes.of(begin, begin + size)
-    place = np.concatenate([mix(runs.value[one] + U64(1)), name[one.sum() :]])
-    # equal strings of this chunk
-    order = np.lexsort((ids[doc], name))
+def leaders(data: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each string the index of an equal one with the smallest id (itself, if it is that one)."""
+    order = np.lexsort((ids, name))
     head = np.ones(len(order), bool)
     head[1:] = name[order][1:] != name[order][:-1]
     first = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-    equal = size[order] == size[first]
-    check = np.flatnonzero(equal & ~head)
-    equal[check] = same_strings(text.data, np.concatenate([begin[order[check]], begin[first[check]]]), np.tile(size[order[check]], 2), np.tile(np.arange(len(check)) + len(check), 2))[: len(check)] if len(check) else False
-    later = equal & (ids[doc[order]] > ids[doc[first]])
-    gone, sent = order[later], order[~later]
-    unit = start - text.first[doc]
-    if len(gone):
-        yield pa.RecordBatch.from_arrays([pa.array([chunk % buckets], pa.int32()), pa.array([chunk], pa.int64()), pa.array([True]), pa.array([squeeze(doc[gone].astype(np.uint16), unit[gone].astype(np.uint32), count[gone].astype(np.uint32))], pa.binary())], ["bucket", "chunk", "decided", "blob"])
+    lead = np.arange(len(order))
+    check = np.flatnonzero(~head & (size[order] == size[first]))
+    if len(check):
+        a, b, n = order[check], first[check], len(check)
+        equal = same_strings(data, np.append(begin[a], begin[b]), np.append(size[a], size[b]), np.tile(np.arange(n) + n, 2))[:n]
+        lead[a[equal]] = b[equal]
+    return lead
+
+
+def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets. Equal strings travel once; those of a larger doc_id are decided here."""
+    if not len(runs.doc):
+        return
+    own = ids[runs.doc]
+    later = own > own[leaders(runs.data, runs.begin, runs.size, runs.name, own)]
+    names = ["bucket", "chunk", "decided", "blob"]
+    if later.any():
+        x = runs[later]
+        yield pa.RecordBatch.from_arrays([pa.array([chunk % buckets], pa.int32()), pa.array([chunk], pa.int64()), pa.array([True]), pa.array([squeeze(x.doc.astype(np.uint16), x.unit.astype(np.uint32), x.count.astype(np.uint32))], pa.binary())], names)
     bucket = (place % U64(buckets)).astype(np.int64)
-    sub = (place >> U64(40)).astype(np.uint16)
-    sent = sent[np.lexsort((start[sent], bucket[sent]))]
-    bucket = bucket[sent]
+    sent = np.flatnonzero(~later)
+    sent = sent[np.argsort(bucket[sent], kind="stable")]
+    bucket, sub = bucket[sent], (place >> U64(40)).astype(np.uint16)
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     blobs = []
     for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
-        s = sent[i:j]
-        blobs.append(squeeze(ids[doc[s]], doc[s].astype(np.uint16), unit[s].astype(np.uint32), sub[s], size[s].astype(np.uint32), text.data[ranges(begin[s], size[s])]))
+        x = runs[sent[i:j]]
+        blobs.append(squeeze(own[sent[i:j]], x.doc.astype(np.uint16), x.unit.astype(np.uint32), sub[sent[i:j]], x.size.astype(np.uint32), x.count.astype(np.uint8), runs.data[ranges(x.begin, x.size)]))
     n = len(at)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([False] * n), pa.array(blobs, pa.binary())], ["bucket", "chunk", "decided", "blob"])
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([False] * n), pa.array(blobs, pa.binary())], names)
 
 
 #: From strings (joined bytes, their sizes, their doc_ids): which windows also start in a smaller doc_id, as indices of
@@ -343,18 +395,10 @@ def judge_with(evaluate: Evaluator):
         if len(open_rows):
             parts = [unsqueeze(rows.column("blob")[i].as_buffer()) for i in open_rows.tolist()]
             row = np.repeat(open_rows, [len(p[0]) for p in parts])
-            ids, doc, unit, sub, size = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            data = np.concatenate([p[5] for p in parts])
-            size = size.astype(np.int64)
-            begin = np.cumsum(size) - size
-            order = np.argsort(sub, kind="stable")
-            hits: list[tuple[np.ndarray, np.ndarray]] = []
-            for part in batches_of(sub[order], size[order]):
-                some = order[part]
-                which, window = evaluate(data[ranges(begin[some], size[some])], size[some], ids[some])
-                hits.append((some[which], window))
-            which = np.concatenate([h[0] for h in hits])
-            at = unit[which].astype(np.int64) + np.concatenate([h[1] for h in hits])
+            ids, doc, unit, sub, size, count = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            data = np.concatenate([p[6] for p in parts])
+            which, window = decide(evaluate, data, size.astype(np.int64), ids, sub, count.astype(np.int64))
+            at = unit[which].astype(np.int64) + window
             if len(which):
                 order = np.lexsort((at, doc[which], row[which]))
                 r, d, at = row[which][order], doc[which][order], at[order]
@@ -372,13 +416,40 @@ def judge_with(evaluate: Evaluator):
     return judge
 
 
+def decide(evaluate: Evaluator, data: np.ndarray, size: np.ndarray, ids: np.ndarray, sub: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal strings of different chunks are evaluated once, for the smallest id."""
+    begin = np.cumsum(size) - size
+    name = np.concatenate([SpanHash(data[a:b]).of(begin[i:j] - a, begin[i:j] + size[i:j] - a) for i, j, a, b in spans_of(begin, size)])
+    lead = leaders(data, begin, size, name, ids)
+    gone = np.flatnonzero(ids > ids[lead])
+    found = [(np.repeat(gone, count[gone]), ranges(np.zeros(len(gone), np.int64), count[gone]))]
+    one = np.flatnonzero(lead == np.arange(len(lead)))
+    one = one[np.argsort(sub[one], kind="stable")]
+    # others of the same id as their leader share its verdict
+    same = np.flatnonzero((ids == ids[lead]) & (lead != np.arange(len(lead))))
+    same = same[np.argsort(lead[same], kind="stable")]
+    for part in batches_of(sub[one], size[one]):
+        some = one[part]
+        which, window = evaluate(data[ranges(begin[some], size[some])], size[some], ids[some])
+        which = some[which]
+        a, b = (np.searchsorted(lead[same], which, side) for side in ("left", "right"))
+        found += [(which, window), (same[ranges(a, b - a)], np.repeat(window, b - a))]
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(2))
+
+
+def spans_of(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of strings, and of their bytes, of about BLOCK_BYTES."""
+    for i, j in blocks(np.append(begin, begin[-1] + size[-1])):
+        yield i, j, int(begin[i]), int(begin[j - 1] + size[j - 1])
+
+
 def batches_of(sub: np.ndarray, size: np.ndarray) -> Iterator[slice]:
-    """Parts of about BATCH_UNITS bytes that keep equal subs together."""
+    """Parts of about BATCH_BYTES bytes that keep equal subs together."""
     heads = np.append(np.flatnonzero(np.diff(sub.astype(np.int64), prepend=-1)), len(sub))
     total = np.concatenate([[0], np.cumsum(size)])
     first = 0
     for i, j in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-        if i > first and total[j] - total[first] > BATCH_UNITS:
+        if i > first and total[j] - total[first] > BATCH_BYTES:
             yield slice(first, i)
             first = i
     if first < len(sub):
@@ -400,7 +471,8 @@ def applier(kind: Kind, id_col: str, text_col: str):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, spans in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                rows, _, text = load(kind, blob.as_buffer(), id_col, text_col)
+                rows, _, data, offsets = load(blob.as_buffer(), id_col, text_col)
+                text = split(kind, data, offsets)
                 first = text.first
                 gone = coverage(first, kind.window, spans or [])
                 total = np.concatenate([[0], np.cumsum(gone)])
@@ -433,7 +505,7 @@ def cut_repeats(docs: DataFrame, id_col: str, text_col: str, kind: Kind, evaluat
     """docs with n_units, n_removed, n_spans (long) and kept (binary); these names replace columns that docs has."""
     spark = docs.sparkSession
     docs = docs.drop("n_units", "n_removed", "n_spans", "kept")
-    buckets = 4 * max(partitions(spark), 1)
+    buckets = 2 * max(partitions(spark), 1)
     chunks = stored(docs.mapInArrow(packer(text_col), "chunk long, rows binary"), "chunks")
     flags = (
         chunks.mapInArrow(counter(kind, id_col, text_col, buckets), "bucket int, chunk long, blob binary")
