@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,22 +43,24 @@ def default_arrival(raw: DataFrame) -> Column:
     return F.struct("ts_millis", *(c for c in ("partition", "offset") if c in raw.columns))
 
 
-def observe(raw: DataFrame, config: CompareConfig | str, decoders: DecoderRegistry | None = None) -> DataFrame:
+def observe(raw: DataFrame, config: CompareConfig | str | Callable[[], CompareConfig], decoders: DecoderRegistry | None = None) -> DataFrame:
     """raw with guid, sequence, kind, state_hash, state_json and error in place of key and value; value stays where an
     error is. A record of an unknown topic gives no row, one of a topic with role BOTH gives two. Filters on envelope
-    columns belong before this, Spark doesn't push them through."""
+    columns belong before this, Spark doesn't push them through. config may be a function that executors ask for the
+    active one; the topics that are read stay those of the start."""
     config = load_compare(config) if isinstance(config, str) else config
+    active = config if callable(config) else lambda: config
     decoders = decoders or DecoderRegistry.standard()
-    raw = raw.filter(F.col("topic").isin(list(config.topics))).withColumn("arrival", default_arrival(raw))
+    raw = raw.filter(F.col("topic").isin(list(active().topics))).withColumn("arrival", default_arrival(raw))
     keep = ["env", "topic", "ts_millis", "arrival"]
     raw = raw.select(*keep, "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
+            rows, found, now = [], [], active()
             for i, (name, value) in enumerate(zip(batch.column("topic").to_pylist(), batch.column("value"), strict=True)):
                 try:
-                    new = [(*x, None, None) for x in observe_one(config, config.topics[name], decoders, value.as_py())]
+                    new = [(*x, None, None) for x in observe_one(now, now.topics[name], decoders, value.as_py())] if name in now.topics else []
                 except ValueError as e:
                     new = [(None,) * 5 + (str(e), value.as_py())]
                 rows += [i] * len(new)

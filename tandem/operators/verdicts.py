@@ -5,6 +5,8 @@ All groupings contain the document's guid, so one exchange by guid serves them a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,8 +134,13 @@ def decision_times(observed: DataFrame, policy: MatchPolicy) -> DataFrame:
 
 
 def paired(observed: DataFrame, config: CompareConfig) -> DataFrame:
-    """One row for each document and topic, with both sides' counts and final states."""
-    return paired_unsequenced(unsequenced_timelines(observed)).unionByName(paired_sequenced(sequenced_versions(observed)))
+    """One row for each document and topic, with both sides' counts and final states. Only what the config's topics can
+    hold is planned, so that records are not read for a kind of timeline that none has."""
+    sequenced = [t.name for t in config.topics.values() if t.role != "ENTRY" and t.sequence_paths]
+    plain = [t.name for t in config.topics.values() if t.role != "ENTRY" and not t.sequence_paths]
+    parts = [paired_unsequenced(unsequenced_timelines(observed))] if plain or not sequenced else []
+    parts += [paired_sequenced(sequenced_versions(observed))] if sequenced else []
+    return reduce(DataFrame.unionByName, parts)
 
 
 def judged(pairs: DataFrame, config: CompareConfig) -> DataFrame:

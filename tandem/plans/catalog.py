@@ -30,13 +30,13 @@ def observed(raw: DataFrame, config: CompareConfig | None = None) -> DataFrame:
 
 
 def order_verdicts(spark: SparkSession, d: str, config: CompareConfig | None = None) -> DataFrame:
-    config = config or fx.config()
+    config = config or fx.config(topics=("orders",))
     return ve.verdicts(observed(fx.orders(spark, d), config), config, DECIDED_AT)
 
 
 def timed_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Order verdicts that were each decided when their document had gone quiet."""
-    config = fx.config()
+    config = fx.config(topics=("orders",))
     seen = observed(fx.orders(spark, d), config)
     at = ve.decision_times(seen, config.policy)
     return ve.verdicts(seen, config).drop("decided_at_millis").join(at.withColumnRenamed("decide_at_millis", "decided_at_millis"), "guid")
@@ -51,7 +51,7 @@ def verdicts_by_guid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cohort_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    config = fx.config("ENTRY_TOPICS")
+    config = fx.config("ENTRY_TOPICS", topics=("orders", "pipeline.in"))
     seen = observed(fx.orders(spark, d).unionByName(fx.entries(spark, d)), config)
     return ve.verdicts(seen, config).select("guid", "topic", "status", "severity", F.col("stats.main_messages").alias("main_messages"), F.col("stats.load_messages").alias("load_messages"))
 
@@ -75,12 +75,12 @@ def numeric_sequence_final(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    config = fx.config()
+    config = fx.config(topics=("lineitem",))
     return ve.verdicts(observed(fx.lines(spark, d), config), config).select("guid", "status", "severity", F.size("diffs").cast("long").alias("n_diffs"), F.col("stats.missing_sequences_in_load").cast("long").alias("missing"), F.col("stats.extra_sequences_in_load").cast("long").alias("extra"))
 
 
 def event_verdict_counts(spark: SparkSession, d: str) -> DataFrame:
-    config = fx.config()
+    config = fx.config(topics=("events",))
     return ve.verdicts(observed(fx.events(spark, d), config), config).groupBy("status").agg(F.count("*").alias("count"))
 
 
@@ -94,12 +94,12 @@ def diff_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def number_tolerance(spark: SparkSession, d: str) -> DataFrame:
-    strict, lax = (order_verdicts(spark, d, fx.config(epsilon=e)).groupBy("status").agg(F.count("*").alias("count")).select(F.lit(e or 0).alias("epsilon"), "status", "count") for e in (None, 1))
+    strict, lax = (order_verdicts(spark, d, fx.config(epsilon=e, topics=("orders",))).groupBy("status").agg(F.count("*").alias("count")).select(F.lit(e or 0).alias("epsilon"), "status", "count") for e in (None, 1))
     return strict.unionByName(lax)
 
 
 def time_tolerance(spark: SparkSession, d: str) -> DataFrame:
-    config = fx.config()
+    config = fx.config(topics=("times",))
     return ve.verdicts(observed(fx.times(spark, d), config), config).select("guid", "status")
 
 
@@ -173,7 +173,7 @@ def xml_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xml_verdict_counts(spark: SparkSession, d: str) -> DataFrame:
-    config = fx.config()
+    config = fx.config(topics=("parts",))
     return ve.verdicts(observed(fx.parts(spark, d), config), config).groupBy("status").agg(F.count("*").alias("count"))
 
 
@@ -214,7 +214,7 @@ def diff_volume_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_diff_rates(spark: SparkSession, d: str) -> DataFrame:
-    config = fx.config()
+    config = fx.config(topics=("orders", "times"))
     seen = observed(fx.orders(spark, d).unionByName(fx.times(spark, d)), config)
     return ru.diff_rates(ru.rollups(ve.verdicts(seen, config, DECIDED_AT), DAY))
 
