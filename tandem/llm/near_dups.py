@@ -7,8 +7,9 @@ below w. A component's signature is its first point, so two texts agree in it wi
 Jaccard similarity. Points are generated in order of time, and only as long as some component may still wait for one.
 
 Texts that share at least SHARED of BANDS bands of ROWS components are candidates. Texts with equal words are one node
-from the start. In each band's group, all are compared with one hub, then, where a group still has several classes,
-with another hub, then each with all of other classes, so that no link is lost to a hub. Every candidate pair is
+from the start. In each band's group, all are compared with a hub, the most central member; then, where a group still
+holds several classes, with two other hubs; then the members of such groups are grouped anew by each two of their
+bands and compared with those groups' hubs. So the work follows the members, not their pairs. Every candidate pair is
 verified by its multisets' overlap. Classes are the connected components of verified pairs.
 """
 
@@ -32,6 +33,7 @@ SIMILARITY = 0.8
 ROWS, BANDS, SHARED = 4, 24, 2
 SLICE_BYTES = 1 << 20
 MAX_ROUNDS = 60
+FINE_ROUND = 3
 _FOLD = np.frombuffer(_TO_SPACE, np.uint8)
 _HASH = U64(0xFFFFFFFFFFFF)  # shingles are kept to 48 bits within a text
 
@@ -199,40 +201,49 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
 
 
+def finer(marked: DataFrame, nodes: DataFrame, central: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of groups that still hold several classes, keyed by each two of their bands."""
+    open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band")
+    left = marked.join(open_, "band").select("node").distinct()
+    two = F.expr(f"flatten(transform(sequence(0, {BANDS - 2}), i -> transform(sequence(i + 1, {BANDS - 1}), j -> xxhash64(bands[i], bands[j]))))")
+    keys = left.join(nodes.select("node", "total", two.alias("keys")), "node").join(central, "node").join(labels, "node")
+    return keys.select("node", "total", "central", "label", F.explode("keys").alias("band"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Members (id, node) of every row of docs, and nodes (node, first_id, class_id): first_id is the smallest id of
     the texts with these words, class_id the smallest of the class; node is null for a text without words."""
     signed = stored(docs.select(id_col, text_col).mapInArrow(signer(id_col, text_col), "id long, node binary, total long, bands array<long>"), "signatures")
     nodes = stored(signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", "total", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    groups = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stored(banded.join(groups, "band"), "shared-bands")
-    needed = shared.select("node").distinct().join(nodes.select("node", "first_id"), "node")
+    # how central a node is: the sizes of its bands' groups; an original outweighs its copies, which left some of them
+    central = stored(shared.groupBy("node").agg(F.sum("n").alias("central")), "central")
+    members = central.select("node")
+    needed = members.join(nodes.select("node", "first_id", "bands"), "node")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(namer(text_col, True), "id long, node binary, words binary")
-    texts = texts.join(needed, (texts["node"] == needed["node"]) & texts["id"].eqNullSafe(needed["first_id"])).select(texts["node"], "words")
+    texts = texts.join(needed, (texts["node"] == needed["node"]) & texts["id"].eqNullSafe(needed["first_id"])).select(needed["node"], "words", "bands")
     texts = stored(texts.dropDuplicates(["node"]), "near-texts")
-    labels = shared.select("node").distinct().withColumn("label", F.col("node"))
+    keyed = stored(shared.select("node", "total", "band").join(central, "node"), "keyed")
+    labels = members.withColumn("label", F.col("node"))
     edges = None
-    for round_, pick in enumerate((F.min, F.max, None)):
-        marked = shared.join(labels, "node")
-        groups = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), *([pick(F.struct("node", "total", "label")).alias("hub")] if pick else [])).filter("low != high").drop("low", "high")
-        if pick:
-            pairs = marked.join(groups, "band").filter("label != hub.label").select(F.col("hub.node").alias("a"), F.col("hub.total").alias("s"), F.col("node").alias("b"), F.col("total").alias("t"))
-            # the same pair from either side is one
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "t")
-        else:
-            left = marked.join(groups, "band")
-            right = left.select("band", *(F.col(c).alias(f"{c}2") for c in ("node", "total", "label")))
-            pairs = left.join(right, "band").filter("label != label2 and node < node2").select(F.col("node").alias("a"), F.col("node2").alias("b"), F.col("total").alias("s"), F.col("total2").alias("t"))
-        pairs = pairs.groupBy("a", "b").agg(F.first("s").alias("s"), F.first("t").alias("t"), F.count("*").alias("n"))
-        pairs = pairs.filter((F.col("n") >= SHARED) & (F.least("s", "t") >= similarity * F.greatest("s", "t"))).select("a", "b")
-        x, y = texts.select(F.col("node").alias("a"), F.col("words").alias("x")), texts.select(F.col("node").alias("b"), F.col("words").alias("y"))
-        found = stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(verifier(similarity), "a binary, b binary"), f"links-{round_}")
+    member = F.struct("central", "node", "total", "label")
+    by_node = F.struct("node", "central", "total", "label")
+    for round_, hub in enumerate((F.max(member), F.min(by_node), F.max(by_node), F.max(member))):
+        marked = keyed.join(labels, "node")
+        if round_ == FINE_ROUND:
+            marked = finer(marked, nodes, central, labels)
+        open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low != high").select("band", "hub")
+        pairs = marked.join(open_, "band").filter("label != hub.label").select(F.col("hub.node").alias("a"), F.col("hub.total").alias("s"), F.col("node").alias("b"), F.col("total").alias("t"))
+        pairs = pairs.filter(F.least("s", "t") >= similarity * F.greatest("s", "t")).select("a", "b").distinct()
+        x, y = (texts.select(F.col("node").alias(n), F.col("words").alias(w), F.col("bands").alias(f"{w}_bands")) for n, w in (("a", "x"), ("b", "y")))
+        both = pairs.join(y, "b").join(x, "a").filter(F.size(F.array_intersect("x_bands", "y_bands")) >= SHARED)
+        found = stored(both.select("a", "b", "x", "y").mapInArrow(verifier(similarity), "a binary, b binary"), f"links-{round_}")
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionAll(found)
-        known = components(edges)
-        labels = stored(shared.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "classes")
+        labels = stored(members.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "classes")
     classes = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
     return signed.select("id", "node"), classes.join(least, "label").select("node", "first_id", "class_id")
