@@ -138,10 +138,12 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         """By sizes alone; indexes are read by the tasks."""
         fs, folder = opened(self.path)
-        shards = sorted((f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(folder)) if f.base_name.startswith("shard-"))
-        return [ByteRange(p, a, min(a + self.step, size)) for p, size in shards for a in range(0, size, self.step)]
+        shards = sorted((f.path, f.size) for f in fs.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)) if f.base_name.startswith("shard-"))
+        return [ByteRange(p, a, min(a + self.step, size)) for p, size in shards for a in range(0, size, self.step)] or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
         fs, _ = opened(self.path)
         with fs.open_input_file(part.path) as shard:
             size = shard.size()
@@ -213,7 +215,7 @@ class MediaArchive(DataSource):
 def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write each text as a member of an archive in folder, which every executor must reach (file, hdfs, s3, gs).
 
-    Null text is empty; a null id stays null; repeated rows are members each. An empty table leaves empty shards.
+    Null text is empty; a null id stays null; repeated rows are members each. An empty table leaves no shard.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows.mapInArrow(write_shards(folder, "id", "text"), "shard string, members long, bytes long").write.format("noop").mode("overwrite").save()

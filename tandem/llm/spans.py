@@ -275,6 +275,8 @@ def counter(kind: Kind, id_col: str, text_col: str, buckets: int):
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, _, data, offsets = load(blob.as_buffer(), id_col, text_col)
                 bucket, value, docs, runs = by_bucket(scan(kind, data, offsets), buckets)
+                if not len(bucket):
+                    continue
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
                 names, blobs = bucket[at].tolist(), []
                 for i, j in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
