@@ -203,3 +203,18 @@ def query(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_SQL_WORDS} as ws from documents),
+it as (select item_id, {_SQL_WORDS} as ws from benchmark),
+iw as (select distinct item_id, s, list_slice(ws, i, i + s - 1) as win from (select item_id, ws, least({WINDOW}, len(ws)) as s, unnest(range(1, len(ws) - least({WINDOW}, len(ws)) + 2)) as i from it where len(ws) > 0)),
+sizes as (select distinct s from iw),
+x as (select r, i, s, list_slice(ws, i, i + s - 1) as win from (select r, ws, s, unnest(range(1, len(ws) - s + 2)) as i from d, sizes where len(ws) >= s)),
+h as (select r, i, s, item_id from x join iw using (s, win)),
+c as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + s)) as j from h) group by r),
+t as (select r, list_sort(list(distinct cast(item_id as varchar))) as ids from h where item_id is not null group by r)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(ids), 0) as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (r) left join t using (r)
+"""

@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
+    return {
+        "op1_licenses": licenses.ORACLE_SQL,
+        "op2_decontaminate": decontaminate.ORACLE_SQL,
+        "op3_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op9_word_windows": word_windows.ORACLE_SQL,
+        "op10_url_filter": url_filter.ORACLE_SQL,
+    }

@@ -147,3 +147,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return suffix_dedup(docs, id_col, text_col).mapInArrow(decode, schema)
+
+
+ORACLE_SQL = f"""
+with w as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+x as (select r, doc_id, i, array_slice(b, i, i + {WINDOW - 1}) as win from (select *, unnest(range(1, octet_length(b) - {WINDOW - 2})) as i from w where octet_length(b) >= {WINDOW})),
+m as (select win, min(doc_id) as least from x group by win),
+h as (select r, i from x join m using (win) where doc_id > least),
+s as (select r, i, i > coalesce(max(i) over (partition by r order by i rows between unbounded preceding and 1 preceding), -1000) + {WINDOW} as head from h),
+g as (select r, i, sum(cast(head as int)) over (partition by r order by i) as g from s),
+runs as (select r, min(i) as a, max(i) + {WINDOW} as z from g group by r, g),
+n as (select r, sum(z - a) as removed, count(*) as spans from runs group by r),
+gaps as (select r, lag(z, 1, 1) over (partition by r order by a) as a, a as z from runs union all select r, max(z), octet_length(any_value(b)) + 1 from runs join w using (r) group by r),
+k as (select r, string_agg(case when z > gaps.a then hex(array_slice(b, gaps.a, z - 1)) else '' end, '' order by gaps.a) as kept from gaps join w using (r) group by r)
+select doc_id, octet_length(b) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, case when kept is null then sha256(b) else sha256(unhex(kept)) end as kept_sha256
+from w left join n using (r) left join k using (r)
+"""

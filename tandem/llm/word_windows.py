@@ -77,3 +77,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = rf"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+x as (select r, doc_id, i, list_slice(ws, i, i + {WINDOW - 1}) as win from (select *, unnest(range(1, len(ws) - {WINDOW - 2})) as i from w where len(ws) >= {WINDOW})),
+m as (select win, min(doc_id) as least from x group by win),
+h as (select r, i from x join m using (win) where doc_id > least),
+c as (select distinct r, j from (select r, unnest(range(i, i + {WINDOW})) as j from h)),
+u as (select r, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+k as (select r, string_agg(word, ' ' order by j) as kept, count(*) as n from u anti join c using (r, j) group by r)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (r)
+"""
