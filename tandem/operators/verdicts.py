@@ -204,21 +204,26 @@ def verdicts(observed: DataFrame, config: CompareConfig, decided_at: int = 0, mi
     else:
         rest = observed
     columns = ["guid", "topic", "status", "severity", *STATS[:6], "missing", "extra", "diffs"]
-    pairs = paired(rest.repartition("guid"), config)
-    if config.policy.cohort_mode == "ASSUME_ALL":
-        found = judged(pairs, config).select(columns)
-        return shaped(found.unionByName(folded(special, config, decided_at)) if mixed_sequences else found, decided_at)
-    flags = cohort_flags(observed.repartition("guid"))
-    inside = F.col("entered_main") & F.col("entered_load")
-    within = judged(pairs.join(flags.filter(inside).select("guid"), "guid", "left_semi"), config).select(columns)
+    found = judged(paired(rest.repartition("guid"), config), config).select(columns)
     if mixed_sequences:
-        within = within.unionByName(folded(special.join(flags.filter(inside).select("guid"), "guid", "left_semi"), config, decided_at))
-        pairs = pairs.unionByName(folded(special, config, decided_at).select("guid", "topic", *STATS[:6]), allowMissingColumns=True)
-    outside = flags.filter(~inside).select("guid", "entered_main", "entered_load").join(pairs.select("guid", "topic", *STATS[:6]), "guid", "left")
-    zero, none = F.lit(0).cast("long"), F.array().cast(T.ArrayType(DIFF))
-    cohort = (
-        outside.filter("entered_main or entered_load").groupBy("guid", "entered_main").agg(*(_null_long(F.sum(c)).alias(c) for c in STATS[:6]))
-        .select("guid", F.lit(COHORT).alias("topic"), F.when(F.col("entered_main"), "NOT_MIRRORED").otherwise("TEST_TRAFFIC").alias("status"), F.lit("INFO").alias("severity"), *STATS[:6], zero.alias("missing"), zero.alias("extra"), none.alias("diffs"))
+        found = found.unionByName(folded(special, config, decided_at))
+    return shaped(found if config.policy.cohort_mode == "ASSUME_ALL" else in_cohort(found, cohort_flags(observed.repartition("guid"))), decided_at)
+
+
+def in_cohort(found: DataFrame, flags: DataFrame) -> DataFrame:
+    """What the entries make of verdicts: documents that entered both sides keep theirs; those that entered one side get
+    one verdict with the sums of their topics' counters; those that entered neither are unanchored, topic by topic."""
+    counters = STATS[:6]
+    rows = flags.select("guid", "entered_main", "entered_load").join(found, "guid", "left")
+    inside = F.col("entered_main") & F.col("entered_load")
+    one_side = ~inside & (F.col("entered_main") | F.col("entered_load"))
+    document = Window.partitionBy("guid")
+    rows = rows.withColumns({c: F.when(one_side, _null_long(F.sum(c).over(document))).otherwise(F.col(c)) for c in counters} | {"place": F.row_number().over(document.orderBy("topic")), "inside": inside, "one_side": one_side})
+    rows = rows.filter(F.when(F.col("one_side"), F.col("place") == 1).otherwise(F.col("topic").isNotNull()))
+    outside = lambda one, none, own: F.when(F.col("one_side"), one).when(~F.col("inside"), none).otherwise(own)
+    side = F.when(F.col("entered_main"), "NOT_MIRRORED").otherwise("TEST_TRAFFIC")
+    zero, empty = F.lit(0).cast("long"), F.array().cast(T.ArrayType(DIFF))
+    return rows.select(
+        "guid", outside(F.lit(COHORT), F.col("topic"), F.col("topic")).alias("topic"), outside(side, F.lit("UNANCHORED"), F.col("status")).alias("status"), outside(F.lit("INFO"), F.lit("WARN"), F.col("severity")).alias("severity"), *counters,
+        outside(zero, zero, F.col("missing")).alias("missing"), outside(zero, zero, F.col("extra")).alias("extra"), outside(empty, empty, F.col("diffs")).alias("diffs"),
     )
-    unanchored = outside.filter("not entered_main and not entered_load and topic is not null").select("guid", "topic", F.lit("UNANCHORED").alias("status"), F.lit("WARN").alias("severity"), *STATS[:6], zero.alias("missing"), zero.alias("extra"), none.alias("diffs"))
-    return shaped(within.unionByName(cohort).unionByName(unanchored), decided_at)
