@@ -8,8 +8,9 @@ Jaccard similarity. Points are generated in order of time, and only as long as s
 
 Texts that share at least SHARED of BANDS bands of ROWS components are candidates. Texts with equal words are one node
 from the start. In each band's group, all are compared with a hub, the most central member; then, where a group still
-holds several classes, with two other hubs; then the members of such groups are grouped anew by each two of their
-bands and compared with those groups' hubs. So the work follows the members, not their pairs. Every candidate pair is
+holds several classes, with two other hubs. What is still open then is compared whole: the members of a group are dealt
+into blocks, and each two blocks meet once, where every candidate pair of different classes is found by bands and sizes
+and only then by texts. So rows follow members and blocks, not pairs, and no candidate pair is left out. Every pair is
 verified by its multisets' overlap. Classes are the connected components of verified pairs.
 """
 
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 
 from tandem.llm.decontaminate import _TO_SPACE
 from tandem.llm.spans import split_words, unit_hashes
-from tandem.llm.util import U64, SpanHash, mix, slices, stored, text_bytes
+from tandem.llm.util import U64, SpanHash, mix, ranges, slices, stored, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS, SHARED = 4, 24, 2
 SLICE_BYTES = 1 << 20
 MAX_ROUNDS = 60
-FINE_ROUND = 3
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19  # of one block; two blocks are in memory at once
+PAIR_CELLS = 1 << 22
 _FOLD = np.frombuffer(_TO_SPACE, np.uint8)
 _HASH = U64(0xFFFFFFFFFFFF)  # shingles are kept to 48 bits within a text
 
@@ -201,13 +203,168 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
 
 
-def finer(marked: DataFrame, nodes: DataFrame, central: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of groups that still hold several classes, keyed by each two of their bands."""
-    open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band")
-    left = marked.join(open_, "band").select("node").distinct()
-    two = F.expr(f"flatten(transform(sequence(0, {BANDS - 2}), i -> transform(sequence(i + 1, {BANDS - 1}), j -> xxhash64(bands[i], bands[j]))))")
-    keys = left.join(nodes.select("node", "total", two.alias("keys")), "node").join(central, "node").join(labels, "node")
-    return keys.select("node", "total", "central", "label", F.explode("keys").alias("band"))
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows sorted by (band, p, q) as tables of whole groups, with each group's first and last row + 1."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(c).to_numpy() for c in ("band", "p", "q")])
+        return np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+
+    def key(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch.column(c)[row].as_py() for c in ("band", "p", "q"))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = key(batch, batch.num_rows - 1)
+        if held and key(held[0], 0) == last:
+            held.append(batch)
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        cuts = bounds(table).tolist()
+        if cuts:
+            yield table.slice(0, cuts[-1]), list(zip([0, *cuts[:-1]], cuts, strict=True))
+        held = table.slice(cuts[-1] if cuts else 0).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        cuts = [0, *bounds(table).tolist(), table.num_rows]
+        yield table, list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def candidates(bands: np.ndarray, total: np.ndarray, label: np.ndarray, block: np.ndarray, band: int, p: int, q: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows, of blocks p and q, of different classes that share SHARED bands, this one as the first of
+    them, and whose sizes allow the similarity. So each pair of a group is found at one band and one pair of blocks."""
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    found = []
+    step = max(1, PAIR_CELLS // max(1, len(right) * BANDS))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
+        fits = label[rows][:, None] != label[right][None, :]
+        fits &= np.minimum(total[rows][:, None], total[right][None, :]) >= similarity * np.maximum(total[rows][:, None], total[right][None, :])
+        if p == q:
+            fits &= rows[:, None] < right[None, :]
+        i, j = np.nonzero(fits)
+        i, j = rows[i], right[j]
+        for a in range(0, len(i), PAIR_CELLS // BANDS):
+            x, y = i[a : a + PAIR_CELLS // BANDS], j[a : a + PAIR_CELLS // BANDS]
+            equal = bands[x] == bands[y]
+            good = (equal.sum(1) >= SHARED) & (bands[x, equal.argmax(1)] == band)
+            found.append((x[good], y[good]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def pairer(similarity: float):
+    """From rows (band, p, q, block, node, total, label, bands) those that have a candidate, with their place in the
+    group and the places of their partners that come after them."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in whole_groups(batches):
+            key = {c: table.column(c).to_numpy() for c in ("band", "p", "q", "block", "total")}
+            label = table.column("label").combine_chunks().dictionary_encode()
+            code = label.indices.to_numpy()
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            rows, place, mates = [], [], []
+            for a, b in groups:
+                x, y = candidates(bands[a:b], key["total"][a:b], code[a:b], key["block"][a:b], key["band"][a], key["p"][a], key["q"][a], similarity)
+                if not len(x):
+                    continue
+                used = np.unique(np.concatenate([x, y]))
+                x, y = np.searchsorted(used, x), np.searchsorted(used, y)
+                order = np.argsort(x, kind="stable")
+                ends = np.searchsorted(x[order], np.arange(len(used) + 1))
+                partners = y[order]
+                rows.append(used + a)
+                place.append(np.arange(len(used)))
+                mates += [partners[ends[k] : ends[k + 1]] for k in range(len(used))]
+            if rows:
+                kept = table.select(["band", "p", "q", "node", "label"]).take(pa.array(np.concatenate(rows)))
+                lengths = np.cumsum([0, *map(len, mates)])
+                lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(mates), pa.int32()))
+                out = kept.append_column("place", pa.array(np.concatenate(place), pa.int32())).append_column("mates", lists)
+                yield from out.combine_chunks().to_batches()
+
+    return pair
+
+
+def tokens_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of compressed texts, numbered, those that a text has again as others; and the n + 1 offsets."""
+    raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(w), np.uint8) for w in words]
+    parts = []
+    for a in range(0, len(raw), 60_000):
+        some = raw[a : a + 60_000]
+        doc, key, count, _ = shingles(np.concatenate(some), np.concatenate([[0], np.cumsum([len(x) for x in some])]))
+        again = ranges(np.zeros(len(count), np.int64), count.astype(np.int64))
+        parts.append((np.repeat(doc, count) + a, np.repeat(key, count), again))
+    doc, key, again = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((again, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (again[order][1:] != again[order][:-1])
+    token = np.empty(len(order), np.int64)
+    token[order] = np.cumsum(new) - 1
+    return token, np.searchsorted(doc, np.arange(len(words) + 1))
+
+
+def linked(words: list[bytes], label: np.ndarray, mates: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of one group's candidates at the similarity; pairs that others have linked by then are not compared."""
+    token, first = tokens_of(words)
+    size = np.diff(first)
+    mark = np.zeros(int(token.max()) + 1 if len(token) else 0, np.int64)
+    class_, links = np.array(label), []
+    for i, others in enumerate(mates):
+        others = others[class_[others] != class_[i]]
+        if not len(others):
+            continue
+        mark[token[first[i] : first[i + 1]]] = 1
+        ends = np.cumsum(size[others])
+        at = 0
+        while at < len(others):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIR_CELLS, "right")))
+            some = others[at:to]
+            hits = np.concatenate([[0], np.cumsum(mark[token[ranges(first[some], size[some])]])])
+            stops = np.cumsum(size[some])
+            least = hits[stops] - hits[stops - size[some]]
+            for j in some[least / (size[i] + size[some] - least) >= similarity].tolist():
+                if class_[j] != class_[i]:
+                    links.append((i, j))
+                    class_[class_ == class_[j]] = class_[i]
+            at = to
+        mark[token[first[i] : first[i + 1]]] = 0
+    return links
+
+
+def linker(similarity: float):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in whole_groups(batches):
+            for a, b in groups:
+                part = table.slice(a, b - a).sort_by("place").combine_chunks()
+                label = part.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+                mates = [np.asarray(m, np.int64) for m in part.column("mates").to_pylist()]
+                links = linked(part.column("words").to_pylist(), label, mates, similarity)
+                if links:
+                    node = part.column("node").combine_chunks()
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array([x for x, _ in links])), node.take(pa.array([y for _, y in links]))], ["a", "b"])
+
+    return link
+
+
+def all_links(keyed: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different classes of labels, over all candidate pairs of every group that holds several."""
+    marked = keyed.join(labels, "node")
+    open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("total").alias("size")).filter("low != high")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    dealt = marked.select("node", "band", "label").join(open_.select("band", blocks.alias("blocks")), "band")
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "label")
+    dealt = dealt.join(nodes.select("node", "total", "bands"), "node").select("band", "p", "q", "block", "node", "total", "label", "bands")
+    dealt = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    found = stored(dealt.mapInArrow(pairer(similarity), "band long, p int, q int, node binary, label binary, place int, mates array<int>"), "near-candidates")
+    both = found.join(texts.select("node", "words"), "node").select("band", "p", "q", "node", "label", "place", "mates", "words")
+    both = both.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return stored(both.mapInArrow(linker(similarity), "a binary, b binary"), "links-rest")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -230,10 +387,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edges = None
     member = F.struct("central", "node", "total", "label")
     by_node = F.struct("node", "central", "total", "label")
-    for round_, hub in enumerate((F.max(member), F.min(by_node), F.max(by_node), F.max(member))):
+
+    def joined(edges: DataFrame) -> DataFrame:
+        return stored(members.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "classes")
+
+    for round_, hub in enumerate((F.max(member), F.min(by_node), F.max(by_node))):
         marked = keyed.join(labels, "node")
-        if round_ == FINE_ROUND:
-            marked = finer(marked, nodes, central, labels)
         open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low != high").select("band", "hub")
         pairs = marked.join(open_, "band").filter("label != hub.label").select(F.col("hub.node").alias("a"), F.col("hub.total").alias("s"), F.col("node").alias("b"), F.col("total").alias("t"))
         pairs = pairs.filter(F.least("s", "t") >= similarity * F.greatest("s", "t")).select("a", "b").distinct()
@@ -243,7 +402,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionAll(found)
-        labels = stored(members.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "classes")
+        labels = joined(edges)
+    found = all_links(keyed, nodes, texts, labels, similarity)
+    if not found.isEmpty():
+        labels = joined(found if edges is None else edges.unionAll(found))
     classes = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
     return signed.select("id", "node"), classes.join(least, "label").select("node", "first_id", "class_id")
