@@ -368,8 +368,9 @@ def all_links(keyed: DataFrame, nodes: DataFrame, texts: DataFrame, labels: Data
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Members (id, node) of every row of docs, and nodes (node, first_id, class_id): first_id is the smallest id of
-    the texts with these words, class_id the smallest of the class; node is null for a text without words."""
+    """Members (id, node) of every row of docs, and nodes (node, first_id, class_id, label): first_id is the smallest
+    id of the texts with these words, class_id the smallest of the class, which several classes may have (or null), label
+    the class itself; node is null for a text without words."""
     signed = stored(docs.select(id_col, text_col).mapInArrow(signer(id_col, text_col), "id long, node binary, total long, bands array<long>"), "signatures")
     nodes = stored(signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", "total", F.explode("bands").alias("band"))
@@ -408,7 +409,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         labels = joined(found if edges is None else edges.unionAll(found))
     classes = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    return signed.select("id", "node"), classes.join(least, "label").select("node", "first_id", "class_id")
+    return signed.select("id", "node"), classes.join(least, "label").select("node", "first_id", "class_id", "label")
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -431,7 +432,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each class: of its smallest id. Rows without words all stay, as do all columns."""
     _, classes = near_classes(docs, id_col, text_col, similarity)
     # the row that stands for a class has its smallest id; of several nodes with that id, the smallest node
-    heads = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__head"))
+    heads = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("node").alias("__head"), F.first("class_id").alias("class_id"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     named = docs.mapInArrow(namer(text_col, False), f"{schema}, __node binary")
     none = named.filter("__node is null").drop("__node")

@@ -28,3 +28,11 @@ def test_links_far_from_all_hubs(spark, monkeypatch, rows_of_block):
     want = brute_classes(rows)
     assert 1 < len({c for _, c in want}) < 60  # comparing with hubs alone leaves 61
     assert same([(x.doc_id, x.class_id) for x in near_dups.near_dups(frame(spark, rows)).collect()], want)
+
+
+def test_classes_with_one_id_all_stay(spark):
+    rows = [(None, f"quite another text of six words {i}a {i}b") for i in range(3)]
+    rows += [(7, f"and some more words that differ {i}c {i}d {i}e") for i in range(3)]
+    rows += [(None, rows[0][1]), (7, rows[3][1]), (9, rows[3][1])]
+    kept = near_dups.keep_first(frame(spark, rows)).collect()
+    assert same([(x.doc_id, x.text) for x in kept], rows[:6])
