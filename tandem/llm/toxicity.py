@@ -154,7 +154,8 @@ def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most sample_rows labelled documents, the first by a hash of their id; conflicting labels of one id
-    count by their maximum. The sample is bounded, so it is broadcast to the documents and its words come to the driver."""
+    count by their maximum. The sample is bounded, so it is broadcast to the documents and its words come to the driver.
+    Without rows of both classes nothing can be told apart: the model has no features and rejects nothing."""
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     found = docs.select(F.col(id_col), F.col(text_col).alias("body")).join(F.broadcast(picked), id_col)
@@ -166,7 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = found.select(F.col(id_col).cast("long").alias("id"), "body", F.col("label").cast("int").alias("label")).mapInArrow(distinct_words, "id long, words string, label int")
     rows = rows.groupBy("id").agg(F.max("words").alias("words"), F.max("label").alias("label"))  # one row an id
-    return fit([(r.words, int(r.label > 0)) for r in rows.orderBy(F.xxhash64("id"), "id").collect()])
+    sample = [(r.words, int(r.label > 0)) for r in rows.orderBy(F.xxhash64("id"), "id").collect()]
+    if len({toxic for _, toxic in sample}) < 2:
+        return Model({}, np.zeros(0), np.inf)
+    return fit(sample)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
