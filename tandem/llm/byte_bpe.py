@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.util import binary_column, slices
+from tandem.llm.util import binary_column, slices, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SLICE_BYTES = 2 << 20
-CACHED = 300_000  # pre-tokens whose ids a worker keeps
+CACHE_BYTES = 32 << 20  # of pre-tokens and their ids, as held, that a task keeps
+ENTRY_BYTES = 200  # of one pre-token and its ids beside their letters
 
 
 def byte_characters() -> list[str]:
@@ -77,6 +77,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.characters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.joined = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -85,8 +86,10 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         pieces = self.find(text)
         if new := list(set(pieces).difference(self.known)):
-            if len(self.known) + len(new) > CACHED:
-                self.known, new = {}, list(set(pieces))
+            size = sum(map(len, new)) * 4 + ENTRY_BYTES * len(new)
+            if self.held + size > CACHE_BYTES:
+                self.known, self.held, new = {}, 0, list(set(pieces))
+            self.held += size
             mapped = [p.encode().decode("latin-1").translate(self.characters) for p in new]
             for piece, ids in zip(new, self.model.encode(mapped, num_threads=1), strict=True):
                 self.known[piece] = np.array(ids, "<u4").tobytes()
@@ -105,25 +108,22 @@ class Codec:
         return self.joined[np.cumsum(step)]
 
 
-@lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
-
-
 def tokenize(docs: DataFrame, text_col: str = "text", path: str | None = None, pattern: str | None = None, decode: bool = True) -> DataFrame:
     """Encode each text by the ranks in `path` (a file that every executor has), each match of `pattern` by itself and
     without special tokens; then decode the ids again.
 
     Returns every row and column of docs with n_tokens (long), ids (binary: little-endian unsigned 32-bit integers) and,
     with decode, decoded (binary); columns of docs with these names are replaced. Null and empty texts have no tokens.
-    Rows are treated each by itself, whatever their ids.
+    Rows are treated each by itself, whatever their ids; a text is encoded whole, however long. An empty table gives an
+    empty result.
     """
     path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
     docs = docs.drop("n_tokens", "ids", "decoded")
     names = docs.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe = Codec(path, pattern)
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
                 ids = [bpe.encode(t) if t else b"" for t in part.column(text_col).to_pylist()]

@@ -11,23 +11,25 @@ from the start. In each band's group, all are compared with a hub, the most cent
 holds several classes, with two other hubs. What is still open then is compared whole: the members of a group are dealt
 into blocks, and each two blocks meet once, where every candidate pair of different classes is found by bands and sizes
 and only then by texts. So rows follow members and blocks, not pairs, and no candidate pair is left out. Every pair is
-verified by its multisets' overlap. Classes are the connected components of verified pairs.
+verified by its multisets' overlap, counted over shingles of 48 bits. Classes are the connected components of verified
+pairs. A group's rows in its band's joins can be split by adaptive execution: one side has each key once.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.decontaminate import _TO_SPACE
 from tandem.llm.spans import split_words, unit_hashes
-from tandem.llm.util import U64, SpanHash, mix, ranges, slices, stored, text_bytes
+from tandem.llm.util import U64, SpanHash, discard, integral, mix, ranges, slices, stored, text_bytes, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -124,6 +126,7 @@ def node_names(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes | None
 
 
 def signer(id_col: str, text_col: str):
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for whole in slices(batch, text_col, SLICE_BYTES):
@@ -146,6 +149,7 @@ def signer(id_col: str, text_col: str):
 def namer(text_col: str, blob: bool):
     """Adds node, and with blob replaces the text by its words, compressed."""
 
+    @tidy
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
@@ -168,6 +172,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def verifier(similarity: float):
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
 
@@ -187,19 +192,21 @@ def verifier(similarity: float):
     return verify
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, label) of all nodes of edges (a, b): the smallest node of the component, by spreading the smallest label
-    to neighbours and then taking the label's own label, until nothing changes."""
+    to neighbours and then taking the label's own label, until nothing changes. Also the table that it is read from."""
     both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    labels = kept = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("l"))
         spread = labels.join(near, labels["node"] == near["n"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         of = labels.select(F.col("node").alias("m"), F.col("label").alias("up"))
         after = stored(spread.join(of, spread["label"] == of["m"]).select("node", "old", F.least("label", "up").alias("label")), "labels")
-        labels = after.select("node", "label")
+        discard(kept)
+        kept, labels = after, after.select("node", "label")
         if after.filter("old != label").isEmpty():
-            return labels
+            discard(both)
+            return labels, kept
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
 
 
@@ -260,6 +267,7 @@ def pairer(similarity: float):
     """From rows (band, p, q, block, node, total, label, bands) those that have a candidate, with their place in the
     group and the places of their partners that come after them."""
 
+    @tidy
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, groups in whole_groups(batches):
             key = {c: table.column(c).to_numpy() for c in ("band", "p", "q", "block", "total")}
@@ -336,6 +344,7 @@ def linked(words: list[bytes], label: np.ndarray, mates: list[np.ndarray], simil
 
 
 def linker(similarity: float):
+    @tidy
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, groups in whole_groups(batches):
             for a, b in groups:
@@ -362,15 +371,32 @@ def all_links(keyed: DataFrame, nodes: DataFrame, texts: DataFrame, labels: Data
     dealt = dealt.join(nodes.select("node", "total", "bands"), "node").select("band", "p", "q", "block", "node", "total", "label", "bands")
     dealt = dealt.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
     found = stored(dealt.mapInArrow(pairer(similarity), "band long, p int, q int, node binary, label binary, place int, mates array<int>"), "near-candidates")
-    both = found.join(texts.select("node", "words"), "node").select("band", "p", "q", "node", "label", "place", "mates", "words")
+    both = found.join(texts, "node").select("band", "p", "q", "node", "label", "place", "mates", "words")
     both = both.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
-    return stored(both.mapInArrow(linker(similarity), "a binary, b binary"), "links-rest")
+    links = stored(both.mapInArrow(linker(similarity), "a binary, b binary"), "links-rest")
+    discard(found)
+    return links
+
+
+def hub_links(keyed: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, hub: Column, similarity: float, name: str) -> DataFrame:
+    """Links (a, b) between each open group's hub and its other classes. Pairs are thinned by sizes and bands before
+    any text is fetched."""
+    marked = keyed.join(labels, "node")
+    open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low != high").select("band", "hub")
+    pairs = marked.join(open_, "band").filter("label != hub.label").select(F.col("hub.node").alias("a"), F.col("hub.total").alias("s"), F.col("node").alias("b"), F.col("total").alias("t"))
+    pairs = pairs.filter(F.least("s", "t") >= similarity * F.greatest("s", "t")).select("a", "b").distinct()
+    for side in "ba":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("bands").alias(f"{side}_bands")), side)
+    pairs = pairs.filter(F.size(F.array_intersect("a_bands", "b_bands")) >= SHARED).select("a", "b")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(verifier(similarity), "a binary, b binary"), name)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Members (id, node) of every row of docs, and nodes (node, first_id, class_id, label): first_id is the smallest
     id of the texts with these words, class_id the smallest of the class, which several classes may have (or null), label
     the class itself; node is null for a text without words."""
+    integral(docs, id_col)
     signed = stored(docs.select(id_col, text_col).mapInArrow(signer(id_col, text_col), "id long, node binary, total long, bands array<long>"), "signatures")
     nodes = stored(signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.first("total").alias("total"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", "total", F.explode("bands").alias("band"))
@@ -379,34 +405,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # how central a node is: the sizes of its bands' groups; an original outweighs its copies, which left some of them
     central = stored(shared.groupBy("node").agg(F.sum("n").alias("central")), "central")
     members = central.select("node")
-    needed = members.join(nodes.select("node", "first_id", "bands"), "node")
+    needed = members.join(nodes.select("node", "first_id"), "node")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(namer(text_col, True), "id long, node binary, words binary")
-    texts = texts.join(needed, (texts["node"] == needed["node"]) & texts["id"].eqNullSafe(needed["first_id"])).select(needed["node"], "words", "bands")
+    texts = texts.join(needed, (texts["node"] == needed["node"]) & texts["id"].eqNullSafe(needed["first_id"])).select(needed["node"], "words")
     texts = stored(texts.dropDuplicates(["node"]), "near-texts")
     keyed = stored(shared.select("node", "total", "band").join(central, "node"), "keyed")
-    labels = members.withColumn("label", F.col("node"))
-    edges = None
+    discard(shared)
+    labels, kept = members.withColumn("label", F.col("node")), None
+    edges: list[DataFrame] = []
     member = F.struct("central", "node", "total", "label")
     by_node = F.struct("node", "central", "total", "label")
-
-    def joined(edges: DataFrame) -> DataFrame:
-        return stored(members.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "classes")
-
-    for round_, hub in enumerate((F.max(member), F.min(by_node), F.max(by_node))):
-        marked = keyed.join(labels, "node")
-        open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low != high").select("band", "hub")
-        pairs = marked.join(open_, "band").filter("label != hub.label").select(F.col("hub.node").alias("a"), F.col("hub.total").alias("s"), F.col("node").alias("b"), F.col("total").alias("t"))
-        pairs = pairs.filter(F.least("s", "t") >= similarity * F.greatest("s", "t")).select("a", "b").distinct()
-        x, y = (texts.select(F.col("node").alias(n), F.col("words").alias(w), F.col("bands").alias(f"{w}_bands")) for n, w in (("a", "x"), ("b", "y")))
-        both = pairs.join(y, "b").join(x, "a").filter(F.size(F.array_intersect("x_bands", "y_bands")) >= SHARED)
-        found = stored(both.select("a", "b", "x", "y").mapInArrow(verifier(similarity), "a binary, b binary"), f"links-{round_}")
+    finders = [
+        *(lambda labels, hub=hub, i=i: hub_links(keyed, nodes, texts, labels, hub, similarity, f"links-{i}") for i, hub in enumerate((F.max(member), F.min(by_node), F.max(by_node)))),
+        lambda labels: all_links(keyed, nodes, texts, labels, similarity),
+    ]
+    for find in finders:
+        found = find(labels)
+        edges.append(found)
         if found.isEmpty():
             continue
-        edges = found if edges is None else edges.unionAll(found)
-        labels = joined(edges)
-    found = all_links(keyed, nodes, texts, labels, similarity)
-    if not found.isEmpty():
-        labels = joined(found if edges is None else edges.unionAll(found))
+        found, table = components(reduce(DataFrame.unionAll, edges))
+        joined = stored(members.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "classes")
+        discard(table, kept)
+        labels = kept = joined
+    discard(*edges, texts, keyed)
     classes = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
     return signed.select("id", "node"), classes.join(least, "label").select("node", "first_id", "class_id", "label")
@@ -417,9 +439,10 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     One row for each row of docs; class_id is the smallest id of the class, first is true for rows with that id. Words
     are those of decontamination (folded, digits, letters and all beyond ASCII); a text of fewer words than a shingle is
-    one shingle. A text without words (null too) is a class of its own with its own id. Null ids come after others: a
-    class of null ids alone has a null class_id and no first. Repeated rows are members of one class. An empty table
-    gives an empty result.
+    one shingle. A text without words (null too) is a class of its own with its own id. Ids are whole numbers (ValueError
+    else); null ids come after others: a class of null ids alone has a null class_id and no first. Repeated rows are
+    members of one class. Texts of any length are taken whole. An empty table gives an empty result; other columns of
+    docs don't matter, whatever their names.
     """
     members, classes = near_classes(docs, id_col, text_col, similarity)
     # texts without words have no partner; their keys are spread
@@ -429,14 +452,15 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: of its smallest id. Rows without words all stay, as do all columns."""
+    """docs with one row of each class: of its smallest id. Rows without words all stay, as do all columns, whatever
+    their names (but for names that begin with __)."""
     _, classes = near_classes(docs, id_col, text_col, similarity)
     # the row that stands for a class has its smallest id; of several nodes with that id, the smallest node
-    heads = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("node").alias("__head"), F.first("class_id").alias("class_id"))
+    heads = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("node").alias("__head"), F.first("class_id").alias("__class"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     named = docs.mapInArrow(namer(text_col, False), f"{schema}, __node binary")
     none = named.filter("__node is null").drop("__node")
-    kept = named.filter("__node is not null").join(heads, (F.col("__node") == F.col("__head")) & F.col(id_col).eqNullSafe(F.col("class_id")))
+    kept = named.filter("__node is not null").join(heads.drop("label"), (F.col("__node") == F.col("__head")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__class")))
     return kept.dropDuplicates(["__node", id_col]).select(docs.columns).unionAll(none)
 
 

@@ -3,17 +3,21 @@
 A window is W consecutive units (bytes or words) of one document. Its minimiser is the smallest hash among its
 spans of m units; consecutive windows that share a minimiser form one super-k-mer, whose text travels as one string.
 
-1. pack:   documents become chunks of a few MB (all columns, compressed), stored in the shared folder.
+1. pack:   documents become chunks of a few MB (all columns, compressed), stored in the shared folder. Their bytes
+           give the number of buckets, so that a bucket's share of the text stays the same at any size.
 2. count:  each chunk sends its distinct minimisers to their buckets, with the number of documents that have them.
            A bucket tells each chunk which of its minimisers others have too, and which are hot.
 3. send:   super-k-mers of repeated minimisers go to buckets. Equal strings of one chunk travel once, for the smallest
            doc_id; the others of larger doc_id are decided on the spot. Windows of a hot minimiser are dealt out one by
-           one by their own hash, so no bucket holds a hot key.
-4. judge:  an evaluator finds, in each bucket, windows that also start in a document with a smaller doc_id.
+           one by their own hash; where there are many chunks, first to parts of a bucket.
+4. judge:  an evaluator finds, in each bucket, windows that also start in a document with a smaller doc_id. A part of
+           hot windows settles all but its smallest doc_id of each window; the parts' smallest meet in a second round.
+           So a window that stands in every chunk costs a bucket one string for each part.
 5. apply:  verdicts return to their chunk, where the documents are cut.
 
-Nothing is collected to the driver; every step is a function of its input, so lost tasks are simply run again.
-Minimisers are kept to 48 bits: a chance collision only sends more strings, it never changes a verdict.
+Nothing but two sums is collected to the driver; every step is a function of its input, so lost tasks are simply run
+again. Minimisers are kept to 48 bits: a chance collision only sends more strings, it never changes a verdict. Texts are
+hashed in blocks; a long document in pieces that overlap by a window less one unit.
 """
 
 from __future__ import annotations
@@ -28,11 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.util import NULL_ID, U64, SpanHash, binary_column, mix, partitions, ranges, slices, sliding_min, stored, text_bytes
+from tandem.llm.util import NULL_ID, U64, SpanHash, binary_column, integral, mix, partitions, ranges, release, slices, sliding_min, stored, text_bytes, tidy
 
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 60_000  # a document's place in its chunk takes 16 bits
-HOT = 4096  # runs of one minimiser beyond which its windows are dealt out one by one
+BUCKET_BYTES = 64 << 20  # of all texts that one bucket stands for, at most
+HOT = 4096  # runs of one minimiser beyond which its windows are dealt out one by one, in small buckets;
+HOT_BYTES = 512  # in large ones a run for each so many bytes of the bucket's share
+PART_CHUNKS = 1024  # chunks whose hot windows meet in one part of a bucket
 BLOCK_BYTES = 1 << 20  # of a chunk's texts that are hashed at a time
 BATCH_BYTES = 1 << 20  # of strings that an evaluator gets at a time
 
@@ -187,12 +194,15 @@ def unpack_rows(blob: bytes) -> pa.Table:
 
 
 def packer(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, text_col, CHUNK_BYTES):
                 for at in range(0, part.num_rows, CHUNK_ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([pack_rows(part.slice(at, CHUNK_ROWS))], pa.binary())], ["chunk", "rows"])
+                    some = part.slice(at, CHUNK_ROWS)
+                    size = pa.compute.sum(pa.compute.binary_length(some.column(text_col))).as_py() or 0
+                    yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([size], pa.int64()), pa.array([pack_rows(some)], pa.binary())], ["chunk", "bytes", "rows"])
                     n += 1
 
     return pack
@@ -214,6 +224,21 @@ def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def segments(kind: Kind, text: Text) -> Iterator[tuple[int, Text]]:
+    """A block as it is, or a single long document in pieces, each with its first unit. Pieces overlap by a window less
+    one unit, so that every window lies in one of them."""
+    units = len(text.starts)
+    if len(text.first) > 2 or len(text.data) <= 2 * BLOCK_BYTES or not units:
+        yield 0, text
+        return
+    cuts = np.unique(np.searchsorted(text.starts, np.arange(0, len(text.data), BLOCK_BYTES)))
+    cuts = np.append(cuts[cuts < units], units)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        last = min(b + kind.window - 1, units)
+        lo, hi = int(text.starts[a]), int(text.ends[last - 1])
+        yield a, Text(text.data[lo:hi], text.starts[a:last] - lo, text.ends[a:last] - lo, np.array([0, last - a]))
+
+
 @dataclass
 class Scan:
     """All super-k-mers of a chunk: document, first window (by the document's units), windows, minimiser; the place and
@@ -237,15 +262,17 @@ def scan(kind: Kind, data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | No
     parts, texts, base = [], [], 0
     for a, b in blocks(offsets):
         text = split(kind, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        hashes = SpanHash(text.data)
-        runs = super_kmers(kind, text, hashes)
-        if hot is not None:
-            keep = np.isin(runs.value, hot)
-            n = runs.count[keep]
-            runs = Runs(ranges(runs.start[keep], n), np.ones(int(n.sum()), np.int64), np.repeat(runs.doc[keep], n), np.repeat(runs.value[keep], n))
-        begin = text.starts[runs.start]
-        end = text.ends[runs.start + runs.count + kind.window - 2]
-        parts.append((runs.doc + a, runs.start - text.first[runs.doc], runs.count, runs.value, begin + base, end - begin, hashes.of(begin, end)))
+        for unit, piece in segments(kind, text):
+            hashes = SpanHash(piece.data)
+            runs = super_kmers(kind, piece, hashes)
+            if hot is not None:
+                keep = np.isin(runs.value, hot)
+                n = runs.count[keep]
+                runs = Runs(ranges(runs.start[keep], n), np.ones(int(n.sum()), np.int64), np.repeat(runs.doc[keep], n), np.repeat(runs.value[keep], n))
+            begin = piece.starts[runs.start]
+            end = piece.ends[runs.start + runs.count + kind.window - 2]
+            shift = base + (int(text.starts[unit]) if unit else 0)
+            parts.append((runs.doc + a, runs.start - piece.first[runs.doc] + unit, runs.count, runs.value, begin + shift, end - begin, hashes.of(begin, end)))
         texts.append(text.data)
         base += len(text.data)
     kinds = (np.int64, np.int64, np.int64, U64, np.int64, np.int64, U64)
@@ -270,6 +297,7 @@ def by_bucket(runs: Scan, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def counter(kind: Kind, id_col: str, text_col: str, buckets: int):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -291,6 +319,7 @@ def flagger(hot: int):
         """Of each chunk's minimisers in this bucket: 0 if no other document has it, 1 if others have, 2 if it is hot."""
         parts = [unsqueeze(blob.as_buffer()) for blob in rows.column("blob")]
         sizes = [len(p[0]) for p in parts]
+        release()  # of the bucket before
         value = np.concatenate([np.cumsum(p[0], dtype=U64) for p in parts])
         order = np.argsort(value, kind="stable")
         value = value[order]
@@ -315,7 +344,8 @@ def same_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray, first: n
     return np.diff(np.concatenate([[0], np.cumsum(differs)])[np.concatenate([[0], ends])]) == 0
 
 
-def sender(kind: Kind, id_col: str, text_col: str, buckets: int):
+def sender(kind: Kind, id_col: str, text_col: str, buckets: int, hot_parts: int):
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, flags in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -323,10 +353,11 @@ def sender(kind: Kind, id_col: str, text_col: str, buckets: int):
                 runs = scan(kind, data, offsets)
                 mark = marks(runs, flags, buckets)
                 some = runs[mark == 1]
-                yield from strings(chunk, ids, some, mix(some.value + U64(1)), buckets)
+                yield from strings(chunk, ids, some, mix(some.value + U64(1)), buckets, WHOLE)
                 if (mark == 2).any():
                     hot = scan(kind, data, offsets, np.unique(runs.value[mark == 2]))
-                    yield from strings(chunk, ids, hot, hot.name, buckets)
+                    part = int(mix(np.array([chunk], U64))[0] % U64(hot_parts)) if hot_parts > 1 else WHOLE
+                    yield from strings(chunk, ids, hot, hot.name, buckets, part)
 
     return send
 
@@ -357,16 +388,19 @@ def leaders(data: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndar
     return lead
 
 
-def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+WHOLE = -1  # the part of strings that are judged at once; others are parts of hot windows
+
+
+def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, buckets: int, part: int) -> Iterator[pa.RecordBatch]:
     """Rows for the buckets. Equal strings travel once; those of a larger doc_id are decided here."""
     if not len(runs.doc):
         return
     own = ids[runs.doc]
     later = own > own[leaders(runs.data, runs.begin, runs.size, runs.name, own)]
-    names = ["bucket", "chunk", "decided", "blob"]
+    names = ["bucket", "part", "chunk", "decided", "blob"]
     if later.any():
         x = runs[later]
-        yield pa.RecordBatch.from_arrays([pa.array([chunk % buckets], pa.int32()), pa.array([chunk], pa.int64()), pa.array([True]), pa.array([squeeze(x.doc.astype(np.uint16), x.unit.astype(np.uint32), x.count.astype(np.uint32))], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk % buckets], pa.int32()), pa.array([WHOLE], pa.int32()), pa.array([chunk], pa.int64()), pa.array([True]), pa.array([squeeze(x.doc.astype(np.uint16), x.unit.astype(np.uint32), x.count.astype(np.uint32))], pa.binary())], names)
     bucket = (place % U64(buckets)).astype(np.int64)
     sent = np.flatnonzero(~later)
     sent = sent[np.argsort(bucket[sent], kind="stable")]
@@ -377,7 +411,7 @@ def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, buckets:
         x = runs[sent[i:j]]
         blobs.append(squeeze(own[sent[i:j]], x.doc.astype(np.uint16), x.unit.astype(np.uint32), sub[sent[i:j]], x.size.astype(np.uint32), x.count.astype(np.uint8), runs.data[ranges(x.begin, x.size)]))
     n = len(at)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([False] * n), pa.array(blobs, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([part] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([False] * n), pa.array(blobs, pa.binary())], names)
 
 
 #: From strings (joined bytes, their sizes, their doc_ids): which windows also start in a smaller doc_id, as indices of
@@ -385,44 +419,76 @@ def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, buckets:
 Evaluator = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def verdict_rows(chunk: np.ndarray, doc: np.ndarray, unit: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Removed windows as runs, a blob for each chunk."""
+    if not len(chunk):
+        return [], []
+    order = np.lexsort((unit, doc, chunk))
+    c, d, at = chunk[order], doc[order], unit[order]
+    head = np.ones(len(c), bool)
+    head[1:] = (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)
+    h = np.flatnonzero(head)
+    last = np.append(h[1:], len(c)) - 1
+    count = at[last] - at[h] + 1
+    new = np.flatnonzero(np.diff(c[h], prepend=-1))
+    blobs = [squeeze(d[h[i:j]].astype(np.uint16), at[h[i:j]].astype(np.uint32), count[i:j].astype(np.uint32)) for i, j in zip(new.tolist(), [*new[1:].tolist(), len(h)], strict=True)]
+    return c[h[new]].tolist(), blobs
+
+
+def judged(home: list[int], blobs: list[bytes]) -> pa.Table:
+    """home: the chunk that a verdict goes to, or, below 0, the bucket in which smallest doc_ids meet."""
+    return pa.table({"home": pa.array(home, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
 def judge_with(evaluate: Evaluator):
-    def judge(_key: tuple, rows: pa.Table) -> pa.Table:
-        chunks, blobs = [], []
+    def judge(key: tuple, rows: pa.Table) -> pa.Table:
+        release()  # of the bucket before
+        bucket, part = key[0].as_py(), key[1].as_py()
         decided = rows.column("decided").to_numpy(zero_copy_only=False)
         names = rows.column("chunk").to_numpy()
-        for i in np.flatnonzero(decided).tolist():
-            chunks.append(int(names[i]))
-            blobs.append(rows.column("blob")[i].as_py())
+        home, blobs = names[decided].tolist(), [rows.column("blob")[i].as_py() for i in np.flatnonzero(decided).tolist()]
         open_rows = np.flatnonzero(~decided)
         if len(open_rows):
             parts = [unsqueeze(rows.column("blob")[i].as_buffer()) for i in open_rows.tolist()]
-            row = np.repeat(open_rows, [len(p[0]) for p in parts])
+            chunk = np.repeat(names[open_rows], [len(p[0]) for p in parts])
             ids, doc, unit, sub, size, count = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            data = np.concatenate([p[6] for p in parts])
-            which, window = decide(evaluate, data, size.astype(np.int64), ids, sub, count.astype(np.int64))
-            at = unit[which].astype(np.int64) + window
-            if len(which):
-                order = np.lexsort((at, doc[which], row[which]))
-                r, d, at = row[which][order], doc[which][order], at[order]
-                head = np.ones(len(r), bool)
-                head[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)
-                h = np.flatnonzero(head)
-                last = np.append(h[1:], len(r)) - 1
-                count = at[last] - at[h] + 1
-                new = np.flatnonzero(np.diff(r[h], prepend=-1))
-                for i, j in zip(new.tolist(), [*new[1:].tolist(), len(h)], strict=True):
-                    chunks.append(int(names[r[h[i]]]))
-                    blobs.append(squeeze(d[h[i:j]], at[h[i:j]].astype(np.uint32), count[i:j].astype(np.uint32)))
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+            data, size = np.concatenate([p[6] for p in parts]), size.astype(np.int64)
+            if part == WHOLE:
+                which, window = decide(evaluate, data, size, ids, sub, count.astype(np.int64))
+            else:
+                which, same = smallest(data, size, ids)
+                window = np.zeros(len(which), np.int64)
+                begin = np.cumsum(size) - size
+                home.append(-1 - bucket)
+                blobs.append(squeeze(ids[same], size[same], data[ranges(begin[same], size[same])], chunk[same], doc[same], unit[same]))
+            more = verdict_rows(chunk[which], doc[which], unit[which].astype(np.int64) + window)
+            home, blobs = home + more[0], blobs + more[1]
+        return judged(home, blobs)
 
     return judge
 
 
+def smallest(data: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings that are one window each: those that an equal one of a smaller id beats, and the others."""
+    begin = np.cumsum(size) - size
+    lead = leaders(data, begin, size, string_hashes(data, begin, size), ids)
+    return np.flatnonzero(ids > ids[lead]), np.flatnonzero(ids == ids[lead])
+
+
+def meet(key: tuple, rows: pa.Table) -> pa.Table:
+    """The second round of hot windows: the parts' smallest doc_ids of one bucket; verdicts pass as they are."""
+    if key[0].as_py() >= 0:
+        return rows.select(["home", "blob"])
+    parts = [unsqueeze(blob.as_buffer()) for blob in rows.column("blob")]
+    ids, size, data, chunk, doc, unit = (np.concatenate([p[k] for p in parts]) for k in range(6))
+    which, _ = smallest(data, size, ids)
+    return judged(*verdict_rows(chunk[which], doc[which], unit[which].astype(np.int64)))
+
+
 def decide(evaluate: Evaluator, data: np.ndarray, size: np.ndarray, ids: np.ndarray, sub: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal strings of different chunks are evaluated once, for the smallest id."""
     begin = np.cumsum(size) - size
-    name = np.concatenate([SpanHash(data[a:b]).of(begin[i:j] - a, begin[i:j] + size[i:j] - a) for i, j, a, b in spans_of(begin, size)])
-    lead = leaders(data, begin, size, name, ids)
+    lead = leaders(data, begin, size, string_hashes(data, begin, size), ids)
     gone = np.flatnonzero(ids > ids[lead])
     found = [(np.repeat(gone, count[gone]), ranges(np.zeros(len(gone), np.int64), count[gone]))]
     one = np.flatnonzero(lead == np.arange(len(lead)))
@@ -439,6 +505,10 @@ def decide(evaluate: Evaluator, data: np.ndarray, size: np.ndarray, ids: np.ndar
     return tuple(np.concatenate([f[i] for f in found]) for i in range(2))
 
 
+def string_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.concatenate([SpanHash(data[a:b]).of(begin[i:j] - a, begin[i:j] + size[i:j] - a) for i, j, a, b in spans_of(begin, size)])
+
+
 def spans_of(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Ranges of strings, and of their bytes, of about BLOCK_BYTES."""
     for i, j in blocks(np.append(begin, begin[-1] + size[-1])):
@@ -469,7 +539,12 @@ def coverage(first: np.ndarray, window: int, blobs: list[bytes]) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def applier(kind: Kind, id_col: str, text_col: str):
+#: From a chunk's rows and what was found of them (n_units, n_removed, n_spans, kept): the rows to return.
+Finish = Callable[[pa.Table, dict[str, pa.Array]], pa.Table]
+
+
+def applier(kind: Kind, id_col: str, text_col: str, finish: Finish | None):
+    @tidy
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, spans in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -494,34 +569,41 @@ def applier(kind: Kind, id_col: str, text_col: str):
                     last[ends[1:][some] - 1] = True
                     kept = text.data[keep][~last]
                     at = ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
-                out = rows
-                for name, values in (("n_units", np.diff(first)), ("n_removed", np.diff(total[first])), ("n_spans", np.diff(heads[first]))):
-                    out = out.append_column(name, pa.array(values, pa.int64()))
-                out = out.append_column("kept", binary_column(kept, at, pa.binary()))
+                counts = {"n_units": np.diff(first), "n_removed": np.diff(total[first]), "n_spans": np.diff(heads[first])}
+                found = {n: pa.array(x, pa.int64()) for n, x in counts.items()} | {"kept": binary_column(kept, at, pa.binary())}
+                out = finish(rows, found) if finish else pa.table([*rows.columns, *found.values()], [*rows.column_names, *found])
                 yield from out.to_batches()
 
     return apply
 
 
-def cut_repeats(docs: DataFrame, id_col: str, text_col: str, kind: Kind, evaluate: Evaluator, hot: int = HOT) -> DataFrame:
-    """docs with n_units, n_removed, n_spans (long) and kept (binary); these names replace columns that docs has."""
-    spark = docs.sparkSession
-    docs = docs.drop("n_units", "n_removed", "n_spans", "kept")
-    buckets = 2 * max(partitions(spark), 1)
-    chunks = stored(docs.mapInArrow(packer(text_col), "chunk long, rows binary"), "chunks")
+def cut_repeats(docs: DataFrame, id_col: str, text_col: str, kind: Kind, evaluate: Evaluator, hot: int | None = None, part_chunks: int = PART_CHUNKS, finish: Finish | None = None) -> DataFrame:
+    """docs with n_units, n_removed, n_spans (long) and kept (binary); these names replace columns that docs has. finish
+    makes rows with the columns of docs from them instead. hot: runs beyond which a minimiser is hot, by default from the
+    buckets' share of the text."""
+    integral(docs, id_col)
+    docs = docs if finish else docs.drop("n_units", "n_removed", "n_spans", "kept")
+    chunks = stored(docs.mapInArrow(packer(text_col), "chunk long, bytes long, rows binary"), "chunks")
+    size, number = chunks.agg(F.sum("bytes"), F.count("*")).first()
+    buckets = max(2 * partitions(docs.sparkSession), -(-(size or 0) // BUCKET_BYTES), 1)
+    hot = max(HOT, (size or 0) // buckets // HOT_BYTES) if hot is None else hot
+    hot_parts = -(-number // part_chunks)
+    chunks = chunks.select("chunk", "rows")
     flags = (
         chunks.mapInArrow(counter(kind, id_col, text_col, buckets), "bucket int, chunk long, blob binary")
         .groupBy("bucket").applyInArrow(flagger(hot), "chunk long, bucket int, blob binary")
         .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("flags"))
     )
-    spans = (
+    verdicts = (
         chunks.join(flags.hint("shuffle_hash"), "chunk")
-        .mapInArrow(sender(kind, id_col, text_col, buckets), "bucket int, chunk long, decided boolean, blob binary")
-        .groupBy("bucket").applyInArrow(judge_with(evaluate), "chunk long, blob binary")
-        .groupBy("chunk").agg(F.collect_list("blob").alias("spans"))
+        .mapInArrow(sender(kind, id_col, text_col, buckets, hot_parts), "bucket int, part int, chunk long, decided boolean, blob binary")
+        .groupBy("bucket", "part").applyInArrow(judge_with(evaluate), "home long, blob binary")
     )
+    if hot_parts > 1:
+        verdicts = verdicts.groupBy("home").applyInArrow(meet, "home long, blob binary")
+    spans = verdicts.groupBy(F.col("home").alias("chunk")).agg(F.collect_list("blob").alias("spans"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return (
         chunks.join(spans.hint("shuffle_hash"), "chunk", "left").select("rows", "spans")
-        .mapInArrow(applier(kind, id_col, text_col), f"{schema}, n_units long, n_removed long, n_spans long, kept binary")
+        .mapInArrow(applier(kind, id_col, text_col, finish), schema if finish else f"{schema}, n_units long, n_removed long, n_spans long, kept binary")
     )

@@ -123,8 +123,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns every row and column of docs with n_bytes, n_removed, n_spans (maximal removed runs, long) and kept (binary:
     the remaining bytes, which may cut a character); columns of docs with these names are replaced. Null text is empty.
-    A null id comes after every other id and rows of one id never remove each other's bytes. Repeated rows are judged
-    each by itself. An empty table gives an empty result.
+    Ids are whole numbers (ValueError else). A null id comes after every other id and rows of one id never remove each
+    other's bytes. Repeated rows are judged each by itself. Texts of any length are taken whole; a row must fit a task's
+    memory several times. An empty table gives an empty result.
     """
     out = cut_repeats(docs, id_col, text_col, Kind("byte", window, gram), interval_classes(window))
     return out.drop("n_bytes").withColumnRenamed("n_units", "n_bytes")
@@ -135,18 +136,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with repeats cut from their texts. Bytes left of a character that was cut in two go too; texts without a
-    repeat stay as they are."""
+    repeat stay as they are, null ones too. Every other column stays, whatever its name."""
     names = docs.columns
 
-    def decode(batches):
-        for batch in batches:
-            texts = [k.decode(errors="ignore") if n else t for t, k, n in zip(batch.column(text_col).to_pylist(), batch.column("kept").to_pylist(), batch.column("n_removed").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names)
+    def decode(rows: pa.Table, found: dict[str, pa.Array]) -> pa.Table:
+        texts = [k.decode(errors="ignore") if n else t for t, k, n in zip(rows.column(text_col).to_pylist(), found["kept"].to_pylist(), found["n_removed"].to_pylist(), strict=True)]
+        return pa.table([pa.array(texts, pa.string()) if c == text_col else rows.column(c) for c in names], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return suffix_dedup(docs, id_col, text_col).mapInArrow(decode, schema)
+    return cut_repeats(docs, id_col, text_col, Kind("byte", window, gram), interval_classes(window), finish=decode)
 
 
 ORACLE_SQL = f"""

@@ -8,7 +8,6 @@ longest-match pieces without building any.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +15,13 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tandem.llm.util import slices
+from tandem.llm.util import slices, tidy
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"  # pieces that begin a word start with this
 SLICE_BYTES = 4 << 20
-CACHED = 500_000  # words whose counts a worker keeps
+CACHE_BYTES = 32 << 20  # of words and their counts, as held, that a task keeps
+ENTRY_BYTES = 120  # of one word and its count beside its letters
 UNKNOWN = -1
 
 
@@ -80,7 +80,6 @@ class Automaton:
         return total
 
 
-@lru_cache(2)
 def automaton(path: str) -> Automaton:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(model.get_piece_size())
@@ -92,23 +91,27 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
 
     Words stand between white space (space, tab to carriage return). A word that the pieces can't spell counts as one
     unknown token. Returns every row and column of docs with n_words, n_tokens and n_unknown (long); columns of docs
-    with these names are replaced. Null and empty texts have no words. Rows are treated each by itself.
+    with these names are replaced. Null and empty texts have no words. Rows are treated each by itself, texts whole,
+    however long. An empty table gives an empty result.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     docs = docs.drop("n_words", "n_tokens", "n_unknown")
     names = docs.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
+        count, held = automaton(path).count, 0
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
                 rows = []
                 for text in part.column(text_col).cast(pa.binary()).to_pylist():
                     words = text.split() if text else []
                     if new := set(words).difference(counts):
-                        if len(counts) + len(new) > CACHED:
-                            counts, new = {}, set(words)
-                        count = automaton(path).count
+                        size = sum(map(len, new)) + ENTRY_BYTES * len(new)
+                        if held + size > CACHE_BYTES:
+                            counts, held, new = {}, 0, set(words)
+                        held += size
                         counts.update((w, count(w.decode())) for w in new)
                     found = list(map(counts.__getitem__, words))
                     unknown = found.count(UNKNOWN)

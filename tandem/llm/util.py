@@ -1,15 +1,19 @@
-"""What the operators share: the shared folder, hashing of byte spans, packing of batches."""
+"""What the operators share: the shared folder, memory of workers, hashing of byte spans, packing of batches."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -17,27 +21,82 @@ NULL_ID = np.iinfo(np.int64).max  # a null doc_id comes after every other
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) one of this machine."""
+    """The folder of this application in spark.checkpoint.dir. Where that is unset, a local session gets a folder of this
+    machine, which goes when the process ends; on a cluster executors could not see it, so that is an error."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='tandem-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        current = context._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            folder = current.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="tandem-")
+            atexit.register(shutil.rmtree, folder, True)
+            folder = f"file://{folder}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{context.applicationId}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again, which cuts the lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_in = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what `stored` wrote, once nothing will read it again. What results depend on stays until `clear`."""
+    for table in tables:
+        if table is not None:
+            delete_path(table.sparkSession, table.stored_in)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; frames that read it are of no use then."""
+    delete_path(spark, shared_dir(spark))
+
+
+def integral(df: DataFrame, name: str) -> None:
+    """ValueError unless the column holds whole numbers: ids of other types can't be compared by size."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"column '{name}' must hold whole numbers, it is {kind.simpleString()}")
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give free memory back to the system: workers live on between tasks, of this and of other queries."""
+    _tables.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that leaves nothing behind in its worker when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; x is changed in place."""
     x ^= x >> U64(33)
@@ -49,17 +108,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
-_tables: dict[int, np.ndarray] = {}
+_C = ctypes.CDLL(None)
+_tables: dict[int, np.ndarray] = {}  # of the running task
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** i for i < n, modulo 2 ** 64; kept between calls up to 8 MB of text."""
+    """base ** i for i < n, modulo 2 ** 64; kept until the task ends up to 2 MB of text."""
     table = _tables.get(int(base))
     if table is None or len(table) < n:
         table = np.full(max(n, 1 << 16), base, U64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        if n <= 1 << 23:
+        if n <= 1 << 21:
             _tables[int(base)] = table
     return table[:n]
 

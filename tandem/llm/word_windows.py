@@ -66,8 +66,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are maximal runs of anything but white space (space, tab to carriage return); they are compared unchanged.
     Returns every row and column of docs with n_words, n_removed, n_spans (long) and kept (string: kept words joined by
-    one space); columns of docs with these names are replaced. Null text has no words. A null id comes after every
-    other id and rows of one id never remove each other's words. Repeated rows are judged each by itself. An empty
+    one space); columns of docs with these names are replaced. Null text has no words. Ids are whole numbers (ValueError
+    else). A null id comes after every other id and rows of one id never remove each other's words. Repeated rows are
+    judged each by itself. Texts of any length are taken whole; a row must fit a task's memory several times. An empty
     table gives an empty result.
     """
     out = cut_repeats(docs, id_col, text_col, Kind("word", window, gram), sorted_windows(window))
