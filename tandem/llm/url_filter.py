@@ -1,44 +1,45 @@
 """URL filters (operator 10): host and path rules, and for URLs without a rule a character language-model ratio.
 
 Two smoothed variable-order Markov models of characters are counted, one over distinct URLs that a rule allows, one
-over those that a rule blocks. P(c | h) backs off from two characters of context to one, to none, to a uniform choice,
-by Witten-Bell weights. A URL's score is the difference of its log-likelihoods over its length; the cut between the
-classes is calibrated on URLs held out from counting. Characters come from a fixed alphabet, so the table of all
-contexts and characters has at most (alphabet + 2) ** 3 rows, which is why it may be broadcast.
-
-Everything is DataFrame operations. Log-likelihoods are rounded to whole millionths, so sums don't depend on order.
+over those that a rule blocks, whole but for the scheme. P(c | h) backs off from five characters of context to four and
+so on to none and to a uniform choice, by Witten-Bell weights. A URL's score is the difference of its log-likelihoods
+over its length. The cut between the classes lies midway between the mean scores of URLs held out from counting; the
+models that judge are counted over all of them.
+
+The table of contexts and characters grows with the URLs: it is counted with partial sums, its orders are joined by key,
+and URLs meet it by key. Nothing of it is broadcast or collected but one row of totals. Everything is DataFrame
+operations. Log-likelihoods are rounded to whole millionths, so sums don't depend on order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.util import stored
+from tandem.llm.util import discard, stored
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789/.-_%:@=&+,;!()'*"
-OTHER, BEGIN, END = "~", "^", "$"
-SYMBOLS = len(ALPHABET) + 2  # OTHER and END too
-HELD = "012"  # first hex digits of a URL's MD5 that keep it from being counted
+ORDER = 5  # characters of context
+BEGIN, END = "\x02", "\x03"
+HELD = "012"  # first hex digits of a URL's MD5 that hold it out while the cut is calibrated
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Counts by class (1: allowed, 0: blocked): n of all URLs with a rule, m without those held out.
+COUNTS = ("n1", "n0", "m1", "m0")
 
 
-def with_parts(pages: DataFrame, url_col: str) -> DataFrame:
-    """Adds __host, __path, __rule (index of the longest fitting rule, or null)."""
-    url = F.col(url_col)
+def with_parts(url: Column) -> Column:
+    """struct<host, path, rule> of a URL; rule is the index of the longest fitting one, or null."""
     at = F.locate("://", url)
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    out = pages.withColumn("__rest", rest)
-    out = out.withColumn("__host", F.translate(F.regexp_extract("__rest", "^[^/?#]*", 0), _UPPER, _LOWER))
-    out = out.withColumn("__path", F.regexp_extract(F.expr("substring(__rest, length(__host) + 1)"), "^[^?#]*", 0))
+    host = F.regexp_extract(rest, "^[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(url)), "^[^?#]*", 0)
+    host, path = F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
     rule = F.lit(None).cast("int")
     for i in sorted(range(len(RULES)), key=lambda i: len(RULES[i][1] + RULES[i][2])):
-        _, host, path = RULES[i]
-        fits = ((F.col("__host") == host) | F.col("__host").endswith("." + host)) & F.col("__path").startswith(path)
-        rule = F.when(fits, F.lit(i)).otherwise(rule)
-    return out.withColumn("__rule", rule).drop("__rest")
+        _, h, p = RULES[i]
+        rule = F.when(((host == h) | host.endswith("." + h)) & path.startswith(p), F.lit(i)).otherwise(rule)
+    return F.struct(host.alias("host"), path.alias("path"), rule.alias("rule"))
 
 
 def labelled(rule: Column) -> Column:
@@ -47,78 +48,80 @@ def labelled(rule: Column) -> Column:
     return F.when(rule.isNotNull(), rule.isin(allow).cast("int"))
 
 
+def model_text(url: Column) -> Column:
+    """What the models read: a URL behind its scheme, A-Z in lower case."""
+    rest = F.when(F.locate("://", url) > 0, F.substring(url, F.locate("://", url) + 3, F.length(url))).otherwise(url)
+    return F.translate(F.coalesce(rest, F.lit("")), _UPPER, _LOWER)
+
+
 def positions(urls: DataFrame) -> DataFrame:
-    """Each character of host and path, and the end, with the two characters before it: two, one, c."""
-    text = F.translate(F.concat("__host", "__path"), _UPPER, _LOWER)
-    known = F.regexp_replace(text, "[^" + ALPHABET.replace("-", r"\-") + "]", OTHER)
-    padded = urls.withColumn("__text", F.concat(F.lit(BEGIN + BEGIN), known, F.lit(END)))
-    each = padded.withColumn("__i", F.explode(F.sequence(F.lit(1), F.length("__text") - 2)))
-    return each.withColumn("two", F.expr("substring(__text, __i, 2)")).withColumn("c", F.expr("substring(__text, __i + 2, 1)")).drop("__text", "__i")
+    """Each character of text, and the end, with the ORDER characters before it: context, c."""
+    symbols = F.concat(F.array_repeat(F.lit(BEGIN), ORDER), F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), F.array(F.lit(END)))
+    at = lambda i: F.struct(F.array_join(F.slice("symbols", i, F.lit(ORDER)), "").alias("context"), F.get("symbols", i + (ORDER - 1)).alias("c"))
+    each = urls.withColumn("symbols", symbols).withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size("symbols") - ORDER), at)))
+    return each.select(*(c for c in urls.columns if c != "text"), "at.context", "at.c")
+
+
+def backed_off(count: Column, total: Column, kinds: Column, p: Column) -> Column:
+    return F.when(total > 0, (count + kinds * p) / (total + kinds)).otherwise(p)
 
 
 def gram_scores(urls: DataFrame) -> DataFrame:
-    """(two, c, micro): the difference of log-likelihoods in millionths, for all that occurs in urls."""
-    train = F.col("label").isNotNull() & ~F.col("held")
-    both = (
-        positions(urls).groupBy("two", "c")
-        .agg(F.count(F.when(train & (F.col("label") == 1), 1)).alias("n1"), F.count(F.when(train & (F.col("label") == 0), 1)).alias("n0"))
-        .withColumn("one", F.expr("substring(two, 2, 1)"))
-    )
-    both = stored(both, "url-grams")  # a small table of the fixed alphabet; read several times below
-    bi = both.groupBy("one", "c").agg(F.sum("n1").alias("b1"), F.sum("n0").alias("b0"))
-    uni = bi.groupBy("c").agg(F.sum("b1").alias("u1"), F.sum("b0").alias("u0"))
-
-    def context(counts: DataFrame, by: list[str], n: str, name: str) -> DataFrame:
-        sums = [f(k) for k in "10" for f in (lambda k: F.sum(f"{n}{k}").alias(f"{name}n{k}"), lambda k: F.count(F.when(F.col(f"{n}{k}") > 0, 1)).alias(f"{name}t{k}"))]
-        return counts.groupBy(*by).agg(*sums)
-
-    total = uni.agg(*[x for k in "10" for x in (F.sum(f"u{k}").alias(f"all{k}"), F.count(F.when(F.col(f"u{k}") > 0, 1)).alias(f"kinds{k}"))]).first()
-    table = (
-        both.join(F.broadcast(context(both, ["two"], "n", "h")), "two")
-        .join(F.broadcast(bi), ["one", "c"]).join(F.broadcast(context(bi, ["one"], "b", "g")), "one")
-        .join(F.broadcast(uni), "c")
-    )
-    logs = []
-    for k in "10":
-        count, kinds = total[f"all{k}"] or 0, total[f"kinds{k}"] or 0
-        p = F.lit(1.0 / SYMBOLS)
-        p = (F.col(f"u{k}") + F.lit(float(kinds)) * p) / F.lit(float(count + kinds)) if count else p
-        for n, h in (("b", "g"), ("n", "h")):
-            p = F.when(F.col(f"{h}n{k}") > 0, (F.col(f"{n}{k}") + F.col(f"{h}t{k}") * p) / (F.col(f"{h}n{k}") + F.col(f"{h}t{k}"))).otherwise(p)
-        logs.append(F.log(p))
-    return table.select("two", "c", F.round((logs[0] - logs[1]) * 1e6).cast("long").alias("micro"))
+    """(context, c, final, held): the differences of log-likelihoods in millionths, of the models over all URLs with a
+    rule and of those without the held ones, for all that occurs in urls."""
+    is_class = lambda k, out: (F.col("label") == int(k)) & (~F.col("held") if out else F.lit(True))
+    grams = positions(urls.select("label", "held", "text")).groupBy("context", "c").agg(*(F.count(F.when(is_class(n[1], n[0] == "m"), 1)).alias(n) for n in COUNTS))
+    grams = stored(grams, "url-grams")
+    levels = {ORDER: grams}
+    for k in range(ORDER - 1, -1, -1):
+        levels[k] = levels[k + 1].groupBy(F.substring("context", 2, k).alias("context"), "c").agg(*(F.sum(n).alias(n) for n in COUNTS))
+    sums = [x for n in COUNTS for x in (F.sum(n).alias(f"total_{n}"), F.count(F.when(F.col(n) > 0, 1)).alias(f"kinds_{n}"))]
+    total = levels[0].agg(F.count("*").alias("symbols"), *sums).first()
+    uniform = F.lit(1.0 / (total["symbols"] + 1))
+    known = levels[0].select("c", *(backed_off(F.col(n), F.lit(total[f"total_{n}"] or 0), F.lit(total[f"kinds_{n}"] or 0), uniform).alias(f"p_{n}") for n in COUNTS)).withColumn("short", F.lit(""))
+    for k in range(1, ORDER + 1):
+        own = Window.partitionBy("context")  # a context has as many rows as characters follow it
+        here = levels[k].withColumns({f"total_{n}": F.sum(n).over(own) for n in COUNTS} | {f"kinds_{n}": F.count(F.when(F.col(n) > 0, 1)).over(own) for n in COUNTS})
+        here = here.withColumn("short", F.substring("context", 2, k - 1)).join(known, ["short", "c"])
+        known = here.select(F.col("context").alias("short"), "c", *(backed_off(F.col(n), F.col(f"total_{n}"), F.col(f"kinds_{n}"), F.col(f"p_{n}")).alias(f"p_{n}") for n in COUNTS))
+    micro = lambda a: F.round((F.log(f"p_{a}1") - F.log(f"p_{a}0")) * 1e6).cast("long")
+    found = stored(known.select(F.col("short").alias("context"), "c", micro("n").alias("final"), micro("m").alias("calibrating")), "url-model")
+    discard(grams)
+    return found
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """Judge every URL by the rules, else by the ratio of two language models counted from the rules' URLs.
 
     Returns every row and column of pages with host, path, rule (such as net/; null without one) and verdict (allow or
-    block); columns of pages with these names are replaced. A null URL, or one without ://, has an empty host and path
-    and is scored as an empty string. Each distinct URL counts once in the models, however many rows have it. Where one
-    class has no URL to calibrate by, the cut is 0. An empty table gives an empty result.
+    block); columns of pages with these names are replaced, others may have any name. A null URL, or one without ://,
+    has an empty host and path; the models read it as it is, a null one as an empty string. URLs of any length are read
+    whole. Each distinct URL counts once in the models, however many rows have it. Where one class has no URL to
+    calibrate by, the cut is 0. An empty table gives an empty result.
     """
     pages = pages.drop("host", "path", "rule", "verdict")
-    parts = with_parts(pages.select(F.col(url_col).alias("url")).distinct(), "url")
-    held = F.coalesce(F.substring(F.md5("url"), 1, 1).isin(list(HELD)), F.lit(False))
-    urls = parts.select("url", "__host", "__path", labelled(F.col("__rule")).alias("label"), held.alias("held"))
-    grams = stored(gram_scores(urls), "url-model")
-    scored = stored(
-        positions(urls.filter("label is null or held"))
-        .join(F.broadcast(grams), ["two", "c"])
-        .groupBy("url", "label").agg((F.sum("micro") / F.count("*")).alias("score")),
-        "url-scores",
-    )
-    means = {r["label"]: r["m"] for r in scored.filter("label is not null").groupBy("label").agg(F.avg("score").alias("m")).collect()}
+    url = F.col("url")
+    urls = pages.select(F.col(f"`{url_col}`").alias("url")).distinct()
+    held = F.coalesce(F.substring(F.md5(url), 1, 1).isin(list(HELD)), F.lit(False))
+    urls = urls.select(url, labelled(with_parts(url)["rule"]).alias("label"), held.alias("held"), model_text(url).alias("text"))
+    urls = stored(urls.withColumn("place", F.monotonically_increasing_id()), "urls")
+    grams = gram_scores(urls)
+    judged = urls.filter("label is null or held").select("place", "label", "text")
+    points = positions(judged).join(grams, ["context", "c"]).groupBy("place", "label").agg(F.round(F.sum(F.when(F.col("label").isNull(), F.col("final")).otherwise(F.col("calibrating"))) / F.count("*")).cast("long").alias("points"))
+    points = stored(points, "url-scores")
+    means = {r["label"]: r["total"] / r["n"] for r in points.filter("label is not null").groupBy("label").agg(F.sum("points").alias("total"), F.count("*").alias("n")).collect()}
     cut = (means[0] + means[1]) / 2 if len(means) == 2 else 0.0
-    free = scored.filter("label is null").select(F.coalesce("url", F.lit("")).alias("__url"), F.col("url").isNull().alias("__null"), "score")
-    judged = with_parts(pages, url_col)
+    free = points.filter("label is null").join(urls.select("place", "url"), "place").select(F.coalesce("url", F.lit("")).alias("key"), F.col("url").isNull().alias("none"), "points")
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(f"`{url_col}`").alias("url"))
+    rows = rows.withColumn("parts", with_parts(url))
     # URLs with a rule need no partner; their keys are spread so that they meet in no one task
-    judged = judged.withColumn("__null", F.col(url_col).isNull()).withColumn("__url", F.when(F.col("__rule").isNull(), F.coalesce(F.col(url_col), F.lit(""))).otherwise(F.concat(F.lit("\u0000"), F.col(url_col))))
-    names = [F.col(f"`{c}`") for c in pages.columns]
-    rule = F.coalesce(*(F.when(F.col("__rule") == i, F.lit(h + p)) for i, (_, h, p) in enumerate(RULES)))
-    by_rule = F.when(labelled(F.col("__rule")) == 1, "allow").otherwise("block")
-    by_model = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
-    return judged.join(free, ["__url", "__null"], "left").select(*names, F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.when(F.col("__rule").isNotNull(), by_rule).otherwise(by_model).alias("verdict"))
+    key = F.when(F.col("parts.rule").isNull(), F.coalesce(url, F.lit(""))).otherwise(F.concat(F.lit("\u0000"), url))
+    rows = rows.select("row", "parts", key.alias("key"), url.isNull().alias("none")).join(free, ["key", "none"], "left")
+    rule = F.col("parts.rule")
+    name = F.coalesce(*(F.when(rule == i, F.lit(h + p)) for i, (_, h, p) in enumerate(RULES)))
+    by_rule = F.when(labelled(rule) == 1, "allow").otherwise("block")
+    by_model = F.when(F.col("points") >= F.lit(cut), "allow").otherwise("block")
+    return rows.select(*(F.col("row")[c].alias(c) for c in pages.columns), "parts.host", "parts.path", name.alias("rule"), F.when(rule.isNotNull(), by_rule).otherwise(by_model).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,36 +133,37 @@ def _sql() -> str:
     case = "case " + " ".join(f"when (host = '{RULES[i][1]}' or ends_with(host, '.{RULES[i][1]}')) and starts_with(path, '{RULES[i][2]}') then {i}" for i in order) + " end"
     allow = ", ".join(str(i) for i, r in enumerate(RULES) if r[0] == "allow")
     names = "case rule " + " ".join(f"when {i} then '{h + p}'" for i, (_, h, p) in enumerate(RULES)) + " end"
-    alphabet = ALPHABET.replace("-", r"\-").replace("'", "''")
     held = ", ".join(f"'{x}'" for x in HELD)
-    level = "case when {h}n{k} > 0 then ({n}{k} + {h}t{k} * ({p})) / ({h}n{k} + {h}t{k})::double else {p} end"
-
-    def log(k: str) -> str:
-        p = f"case when all{k} > 0 then (u{k} + kinds{k} * {1.0 / SYMBOLS!r}::double) / (all{k} + kinds{k})::double else {1.0 / SYMBOLS!r}::double end"
-        for n, h in (("b", "g"), ("n", "h")):
-            p = level.format(h=h, n=n, k=k, p=p)
-        return f"ln({p})"
-
+    each = lambda form: ", ".join(form.format(n=n) for n in COUNTS)
+    levels, models = [], []
+    for k in range(ORDER + 1):
+        levels.append(f"g{k} as (select right(h, {k}) as h, c, {each('sum({n}) as {n}')} from g group by all)")
+        sums = each("sum({n}) over (partition by h) as total_{n}, count(*) filter (where {n} > 0) over (partition by h) as kinds_{n}")
+        source = f"(select *, {sums} from g{k})"
+        if k:
+            parts = [f"case when total_{n} > 0 then (x.{n} + kinds_{n} * p_{n}) / (total_{n} + kinds_{n})::double else p_{n} end as p_{n}" for n in COUNTS]
+            models.append(f"p{k} as (select x.h, x.c, {', '.join(parts)} from {source} x join p{k - 1} y on y.c = x.c and y.h = right(x.h, {k - 1}))")
+        else:
+            parts = [f"case when total_{n} > 0 then ({n} + kinds_{n} * (1.0::double / (v + 1))) / (total_{n} + kinds_{n})::double else 1.0::double / (v + 1) end as p_{n}" for n in COUNTS]
+            models.append(f"p0 as (select h, c, {', '.join(parts)} from {source}, (select count(*) as v from g0))")
+    micro = lambda a: f"cast(round((ln(p_{a}1) - ln(p_{a}0)) * 1e6) as bigint)"
     return rf"""
 with a as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 b as (select page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host from a),
-p as (select page_id, url, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') as path from b),
-q as (select *, {case} as rule from p),
-u as (select distinct url, host, path, case when rule is not null then rule in ({allow}) end as label, coalesce(substr(md5(url), 1, 1) in ({held}), false) as held from q),
-t as (select url, label, held, '^^' || regexp_replace(translate(host || path, '{_UPPER}', '{_LOWER}'), '[^{alphabet}]', '~', 'g') || '$' as s from u),
-c as (select url, label, held, substr(s, i, 2) as two, substr(s, i + 2, 1) as c from (select *, unnest(range(1, length(s) - 1)) as i from t)),
-tri as (select two, c, substr(two, 2, 1) as one, count(*) filter (where label and not held) as n1, count(*) filter (where not label and not held) as n0 from c group by all),
-bi as (select one, c, sum(n1) as b1, sum(n0) as b0 from tri group by all),
-uni as (select c, sum(b1) as u1, sum(b0) as u0 from bi group by all),
-h as (select two, sum(n1) as hn1, sum(n0) as hn0, count(*) filter (where n1 > 0) as ht1, count(*) filter (where n0 > 0) as ht0 from tri group by all),
-g as (select one, sum(b1) as gn1, sum(b0) as gn0, count(*) filter (where b1 > 0) as gt1, count(*) filter (where b0 > 0) as gt0 from bi group by all),
-n as (select sum(u1) as all1, sum(u0) as all0, count(*) filter (where u1 > 0) as kinds1, count(*) filter (where u0 > 0) as kinds0 from uni),
-m as (select two, c, cast(round(({log("1")} - {log("0")}) * 1e6) as bigint) as micro from tri join h using (two) join bi using (one, c) join g using (one) join uni using (c), n),
-s as (select url, label, sum(micro)::double / count(*) as score from c join m using (two, c) where label is null or held group by all),
-e as (select avg(score) filter (where label) as good, avg(score) filter (where not label) as bad from s),
+q0 as (select page_id, url, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') as path from b),
+q as (select *, {case} as rule from q0),
+u as (select distinct url, case when rule is not null then rule in ({allow}) end as label, coalesce(substr(md5(url), 1, 1) in ({held}), false) as held from q),
+t as (select url, label, held, repeat(chr(2), {ORDER}) || translate(case when url is null then '' when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else url end, '{_UPPER}', '{_LOWER}') || chr(3) as s from u),
+c as (select url, label, held, substr(s, i, {ORDER}) as h, substr(s, i + {ORDER}, 1) as c from (select *, unnest(range(1, length(s) - {ORDER} + 1)) as i from t)),
+g as (select h, c, count(*) filter (where label) as n1, count(*) filter (where not label) as n0, count(*) filter (where label and not held) as m1, count(*) filter (where not label and not held) as m0 from c group by all),
+{", ".join(levels)},
+{", ".join(models)},
+m as (select h, c, {micro("n")} as final, {micro("m")} as calibrating from p{ORDER}),
+s as (select url, label, cast(round(sum(case when label is null then final else calibrating end)::double / count(*)) as bigint) as points from c join m using (h, c) where label is null or held group by all),
+e as (select sum(points) filter (where label)::double / count(*) filter (where label) as good, sum(points) filter (where not label)::double / count(*) filter (where not label) as bad from s),
 cut as (select coalesce((good + bad) / 2, 0) as x from e)
 select page_id, q.host, q.path, {names} as rule,
-  case when rule is not null then case when rule in ({allow}) then 'allow' else 'block' end when score >= x then 'allow' else 'block' end as verdict
+  case when rule is not null then case when rule in ({allow}) then 'allow' else 'block' end when points >= x then 'allow' else 'block' end as verdict
 from q left join s on q.url is not distinct from s.url and s.label is null, cut
 """
 
