@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tandem.llm.util import shared_dir
+from tandem.llm.util import integral, shared_dir, tidy
 
 WIDTH = 576  # samples in a row
 RANGE_BYTES = 16 << 20
@@ -100,6 +100,7 @@ def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
 def write_shards(path: str, id_col: str, text_col: str):
     """For mapInArrow: write a partition's texts as one shard; returns (shard, members, bytes)."""
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = opened(path)
         name, draft = f"shard-{TaskContext.get().partitionId():07d}.arc", f"draft-{uuid.uuid4().hex}"
@@ -215,8 +216,10 @@ class MediaArchive(DataSource):
 def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write each text as a member of an archive in folder, which every executor must reach (file, hdfs, s3, gs).
 
-    Null text is empty; a null id stays null; repeated rows are members each. An empty table leaves no shard.
+    Ids are whole numbers (ValueError else); a null id stays null. Null text is empty; texts of any length are stored
+    whole; repeated rows are members each. Other columns don't matter, whatever their names. An empty table leaves no shard.
     """
+    integral(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows.mapInArrow(write_shards(folder, "id", "text"), "shard string, members long, bytes long").write.format("noop").mode("overwrite").save()
 
@@ -231,11 +234,15 @@ def read_media(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES,
     return spark.read.format("media_archive").option("rangeBytes", str(range_bytes)).option("attempts", str(attempts)).load(folder)
 
 
-def with_features(media: DataFrame) -> DataFrame:
-    """Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature; drops the bytes."""
+def with_features(media: DataFrame, strict: bool = False) -> DataFrame:
+    """Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature; drops the bytes. A member
+    that could not be read keeps its error and has null values; with strict it fails the job instead."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if strict and (lost := batch.column("error").drop_null()):
+                raise RuntimeError(f"members that can't be read: {lost.to_pylist()[:3]}")
             rows = []
             for payload, stored in zip(batch.column("payload"), batch.column("media"), strict=True):
                 p, m = payload.as_py(), stored.as_py()
@@ -250,4 +257,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     store_media(docs, folder)
-    return with_features(read_media(spark, folder)).withColumnRenamed("id", "doc_id")
+    return with_features(read_media(spark, folder), strict=True).withColumnRenamed("id", "doc_id")
