@@ -233,15 +233,11 @@ def test_ordinal_fit_recovers_shared_weights():
     r = np.random.default_rng(2)
     x = r.normal(size=(4000, 2))
     grade = (x @ [2.0, -1.0] + r.logistic(size=4000) > np.array([[-1.0], [1.5]])).sum(0)
-    w, t = toxicity.fit_ordinal(x, grade, 3, 0.0, 1500)
+    row, col = np.divmod(np.arange(x.size), 2)
+    w, t = toxicity.fit_ordinal(toxicity.Sparse(row, col, x.ravel(), x.shape), grade, 3, 0.0, 1500)
     assert np.allclose(w, [2, -1], atol=0.2) and np.allclose(t, [-1, 1.5], atol=0.2)
 
 
-def test_fit_needs_both_classes():
-    with pytest.raises(ValueError):
-        toxicity.fit([("a", 0)])
-
-
 def test_urls(spark):
     odd = spark.createDataFrame([(1, None), (1, None), (None, "x"), (2, ""), (4, "HTTP://EXAMPLE.ORG/es/x?y"), (5, "a://b.ORG#/"), (7, "x://y.net?u=http://z.org/"), (8, "x://notexample.org/es/"), (9, "x://a.com/fr/"), (9, "x://com/de/1")], "page_id long, url string")
     got = {(x.page_id, x.url): (x.host, x.path, x.rule, x.verdict) for x in url_filter.filter_urls(odd).collect()}
