@@ -57,3 +57,16 @@ def keyed_dead_letters(letters: DataFrame) -> DataFrame:
 
 def keyed_rollups(rolled: DataFrame) -> DataFrame:
     return rolled.select(F.concat_ws("|", "topic", "status", "signature_id").alias("key"), rollup_json().alias("value"))
+
+
+class Codec:
+    """How findings are written. A job takes another one that has these three methods."""
+
+    def verdicts(self, found: DataFrame, emit_equal: bool = True) -> DataFrame:
+        return keyed_verdicts(found, emit_equal)
+
+    def dead_letters(self, letters: DataFrame) -> DataFrame:
+        return keyed_dead_letters(letters)
+
+    def rollups(self, rolled: DataFrame) -> DataFrame:
+        return keyed_rollups(rolled)

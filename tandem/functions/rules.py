@@ -24,12 +24,14 @@ MASK = "***"
 @dataclass(frozen=True)
 class Rule:
     """rewrite: changes a node (GONE removes it), before its children or, with after, behind them; equivalent: says
-    that two nodes do not differ. A rule has one of the two."""
+    that two nodes do not differ. A rule has one of the two. flat: what a rewrite does to a scalar, by a name that
+    `tandem.functions.flat` knows; without one, records under the rule are decoded in Python."""
 
     matcher: Matcher
     rewrite: Callable[[Tree], Tree] | None = None
     after: bool = False
     equivalent: Callable[[Tree, Tree], bool] | None = None
+    flat: str | None = None
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def _cast(matcher: Matcher, spec: dict) -> Rule:
     to = str(required(spec, "to")).upper()
     if to not in ("NUMBER", "BOOLEAN"):
         raise ValueError(f"unknown cast target '{to}'")
-    return Rule(matcher, to_number if to == "NUMBER" else to_boolean)
+    return Rule(matcher, to_number if to == "NUMBER" else to_boolean, flat=to.lower())
 
 
 def _number_tolerance(matcher: Matcher, spec: dict) -> Rule:
@@ -134,9 +136,9 @@ class RuleTypes:
     def standard() -> RuleTypes:
         return (
             RuleTypes()
-            .register("ignore", lambda m, _: Rule(m, lambda _n: GONE))
-            .register("mask", lambda m, _: Rule(m, lambda _n: MASK))
-            .register("unordered", lambda m, _: Rule(m, lambda n: sorted(n, key=lambda x: utf16(write(x))) if isinstance(n, list) else n, after=True))
+            .register("ignore", lambda m, _: Rule(m, lambda _n: GONE, flat="drop"))
+            .register("mask", lambda m, _: Rule(m, lambda _n: MASK, flat="mask"))
+            .register("unordered", lambda m, _: Rule(m, lambda n: sorted(n, key=lambda x: utf16(write(x))) if isinstance(n, list) else n, after=True, flat="keep"))
             .register("cast", _cast, [("to", "enum:NUMBER,BOOLEAN", True)])
             .register("numberTolerance", _number_tolerance, [("epsilon", "number", True)])
             .register("timeTolerance", _time_tolerance, [("toleranceMillis", "number", True), ("epochUnit", "enum:MILLIS,SECONDS", False)])
@@ -161,10 +163,20 @@ class RuleTypes:
         return [{"type": t, "params": [{"name": n, "kind": k, "required": r} for n, k, r in self.params[t]]} for t in sorted(self.factories)]
 
 
+def _without_absent(node: Tree, rules: RuleSet) -> Tree:
+    """What is left of a tree that no rule rewrites."""
+    if isinstance(node, dict):
+        kept = {name: _without_absent(child, rules) for name, child in node.items() if child is not None or not rules.nulls_equal_absent}
+        return {name: child for name, child in kept.items() if child or not isinstance(child, (dict, list))} if rules.empty_equals_absent else kept
+    return [_without_absent(child, rules) for child in node] if isinstance(node, list) else node
+
+
 def normalise(tree: Tree, rules: RuleSet) -> Tree:
     """Rewrite a tree by its rules: each node by the rules that match its place, in their order; then its children, whose
     places keep their first indices; then by the rules that work behind the children. A removed root is null."""
     rewrites = rules.rewrites
+    if not rewrites:
+        return _without_absent(tree, rules)
 
     def visit(node: Tree, places: tuple[frozenset[int], ...]) -> Tree:
         mine = [r for r, p in zip(rewrites, places, strict=True) if r.matcher.accepts(p)]
@@ -191,6 +203,10 @@ def normalise(tree: Tree, rules: RuleSet) -> Tree:
     return None if out is GONE else out
 
 
+#: A tree and its rules to the tree that is compared.
+Normaliser = Callable[[Tree, RuleSet], Tree]
+
+
 @dataclass(frozen=True)
 class FieldDiff:
     path: str
@@ -231,6 +247,10 @@ def diff(main: Tree, load: Tree, rules: RuleSet) -> list[FieldDiff]:
     return out
 
 
+#: Two trees, MAIN and LOAD, and their rules to where they differ.
+Differ = Callable[[Tree, Tree, RuleSet], list[FieldDiff]]
+
+
 def signature(diffs: list[FieldDiff]) -> tuple[list[str], str]:
     """Distinct sorted entries 'general path: kind', and the first 12 hex digits of their hash."""
     if not diffs:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.canon import DecodeError, extract, state_hash, write
+from tandem.functions import flat
+from tandem.functions.canon import DecodeError, extract, utf8, write
 from tandem.functions.decoders import DecoderRegistry
-from tandem.functions.rules import normalise
+from tandem.functions.rules import Normaliser, normalise
 from tandem.plans.config import CompareConfig, TopicConfig, load_compare
 
 RAW = "env string, topic string, key binary, value binary, ts_millis long, partition int, offset long"
-OBSERVED = "guid string, sequence string, kind string, state_hash string, state_json string, error string"
+DECODED = "role string, guid string, sequence string, state_json string, error string"
+_NAMES = [x.split()[0] for x in DECODED.split(", ")]
 
 
 def _needed(tree, path: tuple, text: str, what: str, topic: str) -> str:
@@ -24,16 +26,38 @@ def _needed(tree, path: tuple, text: str, what: str, topic: str) -> str:
     return found
 
 
-def observe_one(config: CompareConfig, topic: TopicConfig, decoders: DecoderRegistry, payload: bytes | None) -> list[tuple]:
-    """(guid, sequence, kind, hash, json) of one record: an entry, an output, or both; DecodeError or ValueError else."""
+def decode_one(config: CompareConfig, topic: TopicConfig, decoders: DecoderRegistry, normaliser: Normaliser, payload: bytes | None) -> tuple:
+    """(role, guid, sequence, state, error) of one record; DecodeError or ValueError if it can't be read."""
     tree = decoders.get(topic.format)(payload, topic.name)
     guid = _needed(tree, topic.guid_path, topic.guid_text, "GUID", topic.name)
-    out = [(guid, None, "ENTRY", None, None)] if topic.role != "OUTPUT" else []
-    if topic.role != "ENTRY":
-        parts = [_needed(tree, p, t, "sequence", topic.name) for p, t in zip(topic.sequence_paths, topic.sequence_texts, strict=True)]
-        text = write(normalise(tree, config.rules_of(topic.name)))
-        out.append((guid, "|".join(parts) if parts else None, "OUTPUT", state_hash(text), text))
-    return out
+    if topic.role == "ENTRY":
+        return topic.role, guid, None, None, None
+    parts = [_needed(tree, p, t, "sequence", topic.name) for p, t in zip(topic.sequence_paths, topic.sequence_texts, strict=True)]
+    return topic.role, guid, "|".join(parts) if parts else None, write(normaliser(tree, config.rules_of(topic.name))), None
+
+
+def _valid(text: str | None) -> str | None:
+    """Text that UTF-8 can hold."""
+    return text if text is None or text.isascii() else utf8(text).decode()
+
+
+def decoder(active: Callable[[], CompareConfig], decoders: DecoderRegistry, normaliser: Normaliser):
+    """(topic, value) to a struct of DECODED; all null for a null topic, or one that the active config lacks."""
+
+    def decode(topic: pa.Array, value: pa.Array) -> pa.Array:
+        if topic.null_count == len(topic):
+            return pa.nulls(len(topic), pa.struct([(n, pa.string()) for n in _NAMES]))
+        now, none, rows = active(), (None,) * len(_NAMES), []
+        for name, payload in zip(topic.to_pylist(), value.to_pylist(), strict=True):
+            try:
+                rows.append(decode_one(now, now.topics[name], decoders, normaliser, payload) if name in now.topics else none)
+            except ValueError as e:
+                rows.append((None, None, None, None, str(e)))
+        columns = zip(*rows, strict=True) if rows else [()] * len(_NAMES)
+        return pa.StructArray.from_arrays([pa.array([_valid(x) for x in c], pa.string()) for c in columns], _NAMES)
+
+    # not deterministic, so that filters above don't repeat it
+    return F.arrow_udf(decode, DECODED).asNondeterministic()
 
 
 def default_arrival(raw: DataFrame) -> Column:
@@ -43,35 +67,52 @@ def default_arrival(raw: DataFrame) -> Column:
     return F.struct("ts_millis", *(c for c in ("partition", "offset") if c in raw.columns))
 
 
-def observe(raw: DataFrame, config: CompareConfig | str | Callable[[], CompareConfig], decoders: DecoderRegistry | None = None) -> DataFrame:
+def by_topic(of: dict[str, Column], kind: str) -> Column:
+    """The expression of the row's topic; null for others."""
+    out = F.lit(None).cast(kind)
+    for name, x in of.items():
+        out = F.when(F.col("topic") == name, x).otherwise(out)
+    return out
+
+
+def observe(raw: DataFrame, config: CompareConfig | str | Callable[[], CompareConfig], decoders: DecoderRegistry | None = None, normaliser: Normaliser = normalise, native: bool = True) -> DataFrame:
     """raw with guid, sequence, kind, state_hash, state_json and error in place of key and value; value stays where an
-    error is. A record of an unknown topic gives no row, one of a topic with role BOTH gives two. Filters on envelope
-    columns belong before this, Spark doesn't push them through. config may be a function that executors ask for the
-    active one; the topics that are read stay those of the start."""
+    error is. A record of an unknown topic gives no row, one of a topic with role BOTH gives two. Flat JSON is read by
+    column expressions (native), all else in Python, which gets nulls for the records that are read already. Filters on
+    envelope columns belong before this, Spark doesn't push them through. config may be a function that executors ask
+    for the active one; the topics that are read stay those of the start, and all records are read in Python."""
     config = load_compare(config) if isinstance(config, str) else config
     active = config if callable(config) else lambda: config
     decoders = decoders or DecoderRegistry.standard()
-    raw = raw.filter(F.col("topic").isin(list(active().topics))).withColumn("arrival", default_arrival(raw))
+    start = active()
+    native = native and not callable(config) and normaliser is normalise
+    plans = flat.topic_plans(start, decoders) if native else {}
     keep = ["env", "topic", "ts_millis", "arrival"]
-    raw = raw.select(*keep, "value")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found, now = [], [], active()
-            for i, (name, value) in enumerate(zip(batch.column("topic").to_pylist(), batch.column("value"), strict=True)):
-                try:
-                    new = [(*x, None, None) for x in observe_one(now, now.topics[name], decoders, value.as_py())] if name in now.topics else []
-                except ValueError as e:
-                    new = [(None,) * 5 + (str(e), value.as_py())]
-                rows += [i] * len(new)
-                found += new
-            columns = list(zip(*found, strict=True)) or [()] * 7
-            kinds = [pa.string()] * 6 + [pa.binary()]
-            part = batch.select(keep).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*keep, "guid", "sequence", "kind", "state_hash", "state_json", "error", "value"])
-
-    arrival = raw.schema["arrival"].dataType.simpleString()
-    return raw.mapInArrow(run, f"env string, topic string, ts_millis long, arrival {arrival}, {OBSERVED}, value binary")
+    rows = raw.filter(F.col("topic").isin(list(start.topics))).withColumn("arrival", default_arrival(raw)).select(*keep, "value")
+    decode = decoder(active, decoders, normaliser)
+    if plans:
+        rows = rows.withColumn("fields", F.when(F.col("topic").isin(list(plans)) & flat.is_flat(F.col("value")), flat.fields(F.col("value"))))
+        keys = F.transform("fields", lambda x: x["k"])
+        readable = by_topic({t: p.readable(F.col("fields")) for t, p in plans.items()}, "boolean")
+        rows = rows.withColumn("flat", F.col("fields").isNotNull() & (F.size(F.array_distinct(keys)) == F.size("fields")) & F.coalesce(readable, F.lit(False)))
+        fast = F.struct(
+            by_topic({t: F.lit(p.topic.role) for t, p in plans.items()}, "string").alias("role"), by_topic({t: p.guid(F.col("fields")) for t, p in plans.items()}, "string").alias("guid"),
+            by_topic({t: p.sequence(F.col("fields")) for t, p in plans.items()}, "string").alias("sequence"),
+            by_topic({t: p.state(F.col("fields")) for t, p in plans.items() if p.topic.role != "ENTRY"}, "string").alias("state_json"), F.lit(None).cast("string").alias("error"),
+        )
+        rows = rows.withColumn("slow", decode(F.when(~F.col("flat"), F.col("topic")), F.when(~F.col("flat"), F.col("value"))))
+        rows = rows.withColumn("found", F.when(F.col("flat"), fast).otherwise(F.col("slow")))
+    else:
+        rows = rows.withColumn("found", decode(F.col("topic"), F.col("value")))
+    rows = rows.select(*keep, "found.*", "value").filter("guid is not null or error is not null")
+    kind = F.when(F.col("role") == "ENTRY", "ENTRY").when(F.col("role") == "OUTPUT", "OUTPUT")
+    if callable(config) or any(t.role == "BOTH" for t in start.topics.values()):
+        kind = F.explode(F.when(F.col("role") == "BOTH", F.array(F.lit("ENTRY"), F.lit("OUTPUT"))).otherwise(F.array(kind)))
+    rows = rows.withColumn("kind", kind)
+    output = lambda c: F.when(F.col("kind") == "OUTPUT", F.col(c)).alias(c)
+    return rows.select(*keep, "guid", output("sequence"), "kind", output("state_json"), "error", F.when(F.col("error").isNotNull(), F.col("value")).alias("value")).select(
+        *keep, "guid", "sequence", "kind", F.sha2("state_json", 256).alias("state_hash"), "state_json", "error", "value"
+    )
 
 
 def dead_letters(observed: DataFrame) -> DataFrame:

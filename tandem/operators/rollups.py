@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.canon import escaped
@@ -16,20 +16,41 @@ def summaries(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("topic", "status", "severity", F.coalesce("signature_id", F.lit("")).alias("signature_id"), F.coalesce("signature", F.array().cast("array<string>")).alias("signature"), "guid", "decided_at_millis")
 
 
-def rollups(verdicts: DataFrame, window_millis: int = 60_000) -> DataFrame:
-    """Counts of verdicts by topic, status and signature in epoch-aligned windows of their decision time, with the first
-    distinct guids by decision time and guid. Partial aggregates stay small: per guid first, of guids only the earliest."""
+KEY = ("window_start_millis", "topic", "status", "signature_id")
+
+
+def partial_rollups(verdicts: DataFrame, window_millis: int = 60_000) -> DataFrame:
+    """Counts of verdicts by topic, status and signature in epoch-aligned windows of their decision time; the severity
+    and signature of the first of them, and the first SAMPLES distinct guids with their times, by decision time and guid;
+    until: the last decision time. Parts of one roll-up can be merged. Partial aggregates stay small: per guid first, of
+    guids only the earliest."""
     start = F.col("decided_at_millis") - F.pmod(F.col("decided_at_millis"), F.lit(window_millis))
     rows = summaries(verdicts).withColumn("window_start_millis", start)
-    key = ["window_start_millis", "topic", "status", "signature_id"]
-    each = rows.groupBy(*key, "guid").agg(F.count("*").alias("n"), F.min("decided_at_millis").alias("at"), F.min_by("severity", "decided_at_millis").alias("severity"), F.min_by("signature", "decided_at_millis").alias("signature"))
-    order = Window.partitionBy(*key).orderBy("at", "guid")
+    each = rows.groupBy(*KEY, "guid").agg(F.count("*").alias("n"), F.min("decided_at_millis").alias("at"), F.max("decided_at_millis").alias("until"), F.min_by("severity", "decided_at_millis").alias("severity"), F.min_by("signature", "decided_at_millis").alias("signature"))
+    order = Window.partitionBy(*KEY).orderBy("at", "guid")
     # ranks up to SAMPLES are limited before the exchange by Spark's window group limit
-    first = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLES).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "guid"))).alias("first"))
-    total = each.groupBy(*key).agg(F.sum("n").alias("count"), F.min_by("severity", F.struct("at", "guid")).alias("severity"), F.min_by("signature", F.struct("at", "guid")).alias("signature"))
-    return total.join(first, key).select(
-        "window_start_millis", (F.col("window_start_millis") + window_millis).alias("window_end_millis"), "topic", "status", "severity", "signature_id", "signature", "count", F.col("first.guid").alias("sample_guids")
-    )
+    first = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLES).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("at", "guid"))).alias("samples"))
+    head = F.min(F.struct("at", "guid", "severity", "signature"))
+    total = each.groupBy(*KEY).agg(F.sum("n").alias("count"), head.alias("head"), F.max("until").alias("until"))
+    return total.join(first, list(KEY)).select(*KEY, "count", "head", "samples", "until")
+
+
+def merged_samples(samples: Column) -> Column:
+    """The first SAMPLES distinct guids of several parts' samples."""
+    return F.slice(F.array_distinct(F.transform(F.array_sort(F.flatten(samples)), lambda x: x["guid"])), 1, SAMPLES)
+
+
+def finished(rolled: DataFrame, window_millis: int) -> DataFrame:
+    """Roll-ups of head and sample_guids, as they are reported."""
+    end = F.col("window_start_millis") + window_millis
+    return rolled.select("window_start_millis", end.alias("window_end_millis"), "topic", "status", "head.severity", "signature_id", "head.signature", "count", "sample_guids")
+
+
+def rollups(verdicts: DataFrame, window_millis: int = 60_000) -> DataFrame:
+    """All verdicts' roll-ups: window_start_millis, window_end_millis, topic, status, severity, signature_id, signature,
+    count, sample_guids."""
+    parts = partial_rollups(verdicts, window_millis)
+    return finished(parts.withColumn("sample_guids", F.transform("samples", lambda x: x["guid"])), window_millis)
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:

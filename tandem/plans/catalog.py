@@ -37,9 +37,7 @@ def order_verdicts(spark: SparkSession, d: str, config: CompareConfig | None = N
 def timed_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Order verdicts that were each decided when their document had gone quiet."""
     config = fx.config(topics=("orders",))
-    seen = observed(fx.orders(spark, d), config)
-    at = ve.decision_times(seen, config.policy)
-    return ve.verdicts(seen, config).drop("decided_at_millis").join(at.withColumnRenamed("decide_at_millis", "decided_at_millis"), "guid")
+    return ve.verdicts(observed(fx.orders(spark, d), config), config, None)
 
 
 def verdict_status_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +63,12 @@ def sequenced_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequence_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = ve.paired_sequenced(ve.sequenced_versions(observed(fx.lines(spark, d))))
+    pairs = ve.paired_sequenced(ve.dealt(observed(fx.lines(spark, d))))
     return pairs.select("guid", "missing", "extra", "main_messages", "load_messages", "main_duplicates", "load_duplicates")
 
 
 def numeric_sequence_final(spark: SparkSession, d: str) -> DataFrame:
-    pairs = ve.paired_sequenced(ve.sequenced_versions(observed(fx.lines(spark, d))))
+    pairs = ve.paired_sequenced(ve.dealt(observed(fx.lines(spark, d))))
     return pairs.select("guid", "main_hash", "load_hash")
 
 
@@ -236,10 +234,27 @@ def verdict_json(spark: SparkSession, d: str) -> DataFrame:
     return codec.keyed_verdicts(order_verdicts(spark, d), emit_equal=False)
 
 
+def strict_severities(spark: SparkSession, d: str) -> DataFrame:
+    """With strict intermediates, documents that diverged on the way are warnings."""
+    return order_verdicts(spark, d, fx.config(strict=True, topics=("orders",))).groupBy("status", "severity").agg(F.count("*").alias("count"))
+
+
+def array_field_diffs(spark: SparkSession, d: str) -> DataFrame:
+    config = fx.config(topics=("baskets",))
+    return ve.verdicts(observed(fx.baskets(spark, d), config), config).select("guid", F.explode("diffs").alias("d")).select("guid", "d.path", "d.general", "d.kind", "d.main", "d.load")
+
+
+def sequence_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Final states by decimal sequences, by long ones, and by some that only their arrival orders."""
+    config = fx.config(topics=("steps",))
+    return ve.verdicts(observed(fx.steps(spark, d), config), config).select("guid", "status", "severity", F.size("diffs").cast("long").alias("n_diffs"))
+
+
 _PLAIN = [
     verdict_status_counts, verdicts_by_guid, cohort_verdicts, unsequenced_timeline, sequenced_timeline, sequence_pairs, numeric_sequence_final, line_verdicts, event_verdict_counts, field_diffs,
     diff_signatures, number_tolerance, time_tolerance, observations_roles, guid_extract, composite_sequence, dead_letters, dead_letter_counts, dead_letter_json, xml_decode, xml_verdict_counts,
     decision_times, rollups, rollup_samples, rollup_json, summary_recent, summary_all, latest_verdicts, diff_volume_series, topic_diff_rates, topic_status_counts, suggested_ignore_rules, rule_catalog, verdict_json,
+    strict_severities, array_field_diffs, sequence_orders,
 ]
 
 
@@ -345,6 +360,19 @@ from r group by window_start_millis, topic, status, severity, signature_id, sign
 h as (select *, cast(floor(diff * 100 / total + 0.5) as bigint) as pct from g) select topic, total, diff, pct, case when pct >= 25 then 'red' when pct >= 5 then 'yellow' else 'green' end as level from h""",
         "topic_status_counts": f"{_W} {status}",
         "suggested_ignore_rules": f"{_W} select 'ignore' as type, trim(regexp_replace(e, ':[^:]*$', '')) as path, count(*) as count from (select unnest(string_split(sig, chr(10))) as e from w where sig is not null) group by all",
+        "verdict_json": f"""{_W}, d as (select *, concat_ws(',', case when dp then '{{"path":"priority","kind":"value-changed","main":"\\"' || mp || '\\"","load":"\\"' || lp || '\\""}}' end, case when dst then '{{"path":"status","kind":"removed","main":"\\"' || mst || '\\""}}' end) as ds from w where status <> 'EQUAL')
+select guid || '|' || topic as key, '{{"type":"verdict","guid":"' || guid || '","topic":"orders","status":"' || status || '","severity":"' || severity || '","revision":1,"decidedAtMillis":{DECIDED_AT}'
+|| case when status = 'DIFF' then ',"signatureId":"' || signature_id || '","signature":["' || replace(sig, chr(10), '","') || '"],"diffs":[' || ds || ']' else '' end
+|| ',"stats":{{"mainMessages":' || cast(im as int) || ',"loadMessages":' || cast(il as int) || ',"mainDistinctStates":' || cast(im as int) || ',"loadDistinctStates":' || cast(il as int) || ',"mainDuplicates":0,"loadDuplicates":0,"missingSequencesInLoad":0,"extraSequencesInLoad":0}}}}' as value from d""",
+        "strict_severities": f"{_W} select status, case when status = 'EQUAL_DIVERGED' then 'WARN' else severity end as severity, count(*) as count from w group by all",
+        "array_field_diffs": """with p as (select p_partkey as k, p_size as z from part)
+select cast(k as varchar) as guid, 'items[0].p' as path, 'items[].p' as general, 'value-changed' as kind, cast(z as varchar) as main, cast(z + 1 as varchar) as load from p where k % 3 = 0
+union all select cast(k as varchar), 'items[2]', 'items[]', 'added', null, '{"p":9}' from p where k % 4 = 0
+union all select cast(k as varchar), 'more', 'more', 'added', null, 'true' from p where k % 7 = 0
+union all select cast(k as varchar), 'note', 'note', 'removed', '"n"', null from p where k % 11 = 0
+union all select cast(k as varchar), 'note', 'note', 'type-changed', '"n"', '5' from p where k % 5 = 0 and k % 11 <> 0""",
+        "sequence_orders": """with s as (select o_orderkey as k, case when k % 3 = 2 then 3 else 2 end as n, case when k % 3 < 2 then 1 when k % 2 = 0 then 2 else 0 end as last from orders)
+select cast(k as varchar) as guid, case when k % n = last then 'DIFF' else 'EQUAL_DIVERGED' end as status, case when k % n = last then 'ERROR' else 'INFO' end as severity, 1 as n_diffs from s""",
         "rule_catalog": "select * from (values ('cast', 'to:enum:NUMBER,BOOLEAN:required'), ('ignore', ''), ('mask', ''), ('numberTolerance', 'epsilon:number:required'), ('timeTolerance', 'toleranceMillis:number:required,epochUnit:enum:MILLIS,SECONDS:optional'), ('unordered', '')) t(type, params)",
     }
     return found | {name: _sql_text(state) for name, (_, _, state) in STATE_CASES.items()}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.plans.config import CompareConfig, load_compare
-from tandem.session import table
+from tandem.session import spread, table
 
 
 def millis(df: DataFrame, name: str) -> Column:
@@ -41,7 +41,7 @@ def _sides(df: DataFrame, topic: str, payloads: dict[str, Column], keep: dict[st
         df.filter(keep.get(env, F.lit(True))).select(F.lit(env).alias("env"), F.lit(topic).alias("topic"), key.cast("string").cast("binary").alias("key"), payload.cast("binary").alias("value"), ts.alias("ts_millis"), arrival.alias("arrival"))
         for env, payload in payloads.items()
     ]
-    return reduce(DataFrame.unionByName, sides)
+    return spread(reduce(DataFrame.unionByName, sides))
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +109,35 @@ def times(spark: SparkSession, d: str) -> DataFrame:
     return _sides(df, "times", {"MAIN": _json(guid=_text(k), at=_text(F.concat(at(second), F.lit("Z")))), "LOAD": _json(guid=_text(k), at=_text(load))}, {}, k, k, k)
 
 
+def baskets(spark: SparkSession, d: str) -> DataFrame:
+    """Objects with arrays: LOAD changes an element, adds one, adds a field, drops a field or changes its type."""
+    df = table(spark, d, "part")
+    k = F.col("p_partkey")
+    items = lambda first, *more: F.concat(F.lit('[{"p":'), first.cast("string"), F.lit('},{"p":1}'), *more, F.lit("]"))
+    size = F.col("p_size")
+    main = _json(guid=_text(k), items=items(size), note=F.lit('"n"'))
+    note = F.when(k % 11 == 0, F.lit(None)).when(k % 5 == 0, "5").otherwise('"n"')
+    load = _json(guid=_text(k), items=items(size + F.when(k % 3 == 0, 1).otherwise(0), F.when(k % 4 == 0, ',{"p":9}').otherwise("")), more=F.when(k % 7 == 0, "true"), note=note)
+    return _sides(df, "baskets", {"MAIN": main, "LOAD": load}, {}, k, k, k)
+
+
+#: Sequences as a document's key modulo 3 says: decimals, numbers of more than 18 digits, numbers among texts.
+STEPS = (("9.5", "10.5"), ("99999999999999999999", "100000000000000000000"), ("2", "10", "1a"))
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose sequences are spelled in several ways. They arrive as listed for even keys, the other way round
+    for odd ones; LOAD has another state at the place that is the key modulo their number."""
+    df = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    lists = F.array(*(F.array(*map(F.lit, x)) for x in STEPS))
+    df = df.withColumn("all", F.get(lists, (k % 3).cast("int"))).select("o_orderkey", F.size("all").alias("n"), F.posexplode("all").alias("at", "s"))
+    arrival = F.when(k % 2 == 0, F.col("at")).otherwise(-F.col("at"))
+    payload = lambda v: _json(guid=_text(k), s=_text(F.col("s")), v=v)
+    load = F.when(F.col("at") == k % F.col("n"), 2).otherwise(1)
+    return _sides(df, "steps", {"MAIN": payload(F.lit(1)), "LOAD": payload(load)}, {}, k, F.struct(k.alias("k"), arrival.alias("at")), k)
+
+
 def config(mode: str = "ASSUME_ALL", epsilon: int | None = 1, tolerance: int = 2000, strict: bool = False, topics: tuple[str, ...] = (), **changes: dict) -> CompareConfig:
     """The compare config of all streams, or of those named; changes replace rule sets by name."""
     rules = [{"type": "ignore", "path": "**.traceId"}, {"type": "cast", "path": "total", "to": "NUMBER"}]
@@ -123,6 +152,7 @@ def config(mode: str = "ASSUME_ALL", epsilon: int | None = 1, tolerance: int = 2
         } | changes,
         "topics": [t for t in (
             topic("orders", ruleSet="orders"), topic("pipeline.in", "ENTRY"), topic("lineitem", sequencePath="seq"), topic("events"),
-            topic("broken", guid="k"), topic("parts", kind="xml", guid="part.@id", ruleSet="parts"), topic("times", ruleSet="times"),
+            topic("broken", guid="k"), topic("parts", kind="xml", guid="part.@id", ruleSet="parts"), topic("times", ruleSet="times"), topic("baskets"),
+            topic("steps", sequencePath="s"),
         ) if not topics or t["name"] in topics],
     }))

@@ -27,3 +27,9 @@ def local_session(cpus: int | str = "*", app: str = "tandem", **conf: str) -> Sp
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables; Spark's reader opens the path, whatever the file system."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A frame of scans alone, dealt out evenly where its files give fewer partitions than the session has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

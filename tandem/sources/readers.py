@@ -55,15 +55,26 @@ def job_source(spark: SparkSession, job: JobConfig, streaming: bool = True) -> D
     return reduce(DataFrame.unionByName, parts)
 
 
+def control_options(control: ControlConfig) -> dict[str, str]:
+    own = {f"kafka.{k}": v for k, v in control.properties.items()}
+    return {"kafka.bootstrap.servers": control.bootstrap_servers, "subscribe": control.topic, "startingOffsets": "earliest"} | own
+
+
 def control_source(spark: SparkSession, control: ControlConfig) -> DataFrame:
-    """All control messages so far: value, offset."""
+    """All control messages so far: value, partition, offset."""
     if not has_kafka(spark):
         raise RuntimeError(NO_KAFKA)
-    own = {f"kafka.{k}": v for k, v in control.properties.items()}
-    found = spark.read.format("kafka").options(**{"kafka.bootstrap.servers": control.bootstrap_servers, "subscribe": control.topic, "startingOffsets": "earliest"} | own).load()
+    found = spark.read.format("kafka").options(**control_options(control)).load()
     return found.select(F.col("value").cast("string").alias("value"), "partition", "offset")
 
 
+def control_stream(spark: SparkSession, control: ControlConfig) -> DataFrame:
+    """Control messages as they come, from the first on."""
+    if not has_kafka(spark):
+        raise RuntimeError(NO_KAFKA)
+    return spark.readStream.format("kafka").options(**control_options(control)).load()
+
+
 def files(spark: SparkSession, path: str, streaming: bool = False, format: str = "parquet", **options: str) -> DataFrame:
     """Raw records from files of any format that Spark reads; with streaming, new files as they come."""
     reader = spark.readStream if streaming else spark.read

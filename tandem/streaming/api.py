@@ -11,7 +11,8 @@ from typing import Any
 from tandem.functions.rules import RuleTypes
 from tandem.plans.config import load_compare
 from tandem.sources.findings import TableStore
-from tandem.streaming.control import Resolver, publish
+from tandem.streaming import openapi
+from tandem.streaming.control import FolderControl, KafkaControl
 
 
 class ApiError(Exception):
@@ -20,34 +21,41 @@ class ApiError(Exception):
         self.status = status
 
 
-def validate(body: Any) -> dict:
-    if not isinstance(body, dict):
-        return {"valid": False, "error": "request body must be a compare config object"}
-    try:
-        load_compare(body)
-    except ValueError as e:
-        return {"valid": False, "error": str(e)}
-    return {"valid": True}
+class Raw:
+    """An answer that is no JSON value of the API."""
+
+    def __init__(self, kind: str, text: str):
+        self.kind, self.text = kind, text
 
 
 class Api:
     """Routes by method and path; each is called with the query's values and the body."""
 
-    def __init__(self, store: TableStore, control_folder: str, bootstrap: str | None = None, types: RuleTypes | None = None):
-        self.store, self.control_folder, self.bootstrap, self.types = store, control_folder, bootstrap, types or RuleTypes.standard()
+    def __init__(self, store: TableStore, control: FolderControl | KafkaControl, types: RuleTypes | None = None):
+        self.store, self.control, self.types = store, control, types or RuleTypes.standard()
         self.routes: dict[str, Callable[[dict[str, str], Any], Any]] = {
             "GET /api/health": lambda q, b: {"ok": True},
             "GET /api/rule-types": lambda q, b: self.types.catalogue(),
             "GET /api/config/active": lambda q, b: self.active(),
-            "POST /api/config/validate": lambda q, b: validate(b),
+            "POST /api/config/validate": lambda q, b: self.validate(b),
             "POST /api/config/apply": lambda q, b: self.apply(b),
             "GET /api/verdicts": lambda q, b: self.found("verdict", q),
             "GET /api/rollups": lambda q, b: self.found("rollup", q),
             "GET /api/dead-letters": lambda q, b: self.found("dead-letter", q),
             "GET /api/summary": lambda q, b: self.summary(q),
-            "GET /docs": lambda q, b: {"routes": sorted(self.routes)},
+            "GET /openapi.yaml": lambda q, b: Raw("application/yaml", json.dumps(openapi.document(), indent=2)),  # JSON is YAML
+            "GET /docs": lambda q, b: Raw("text/html; charset=utf-8", openapi.page()),
         }
 
+    def validate(self, body: Any) -> dict:
+        if not isinstance(body, dict):
+            return {"valid": False, "error": "request body must be a compare config object"}
+        try:
+            load_compare(body, self.types)
+        except ValueError as e:
+            return {"valid": False, "error": str(e)}
+        return {"valid": True}
+
     @staticmethod
     def _limit(query: dict[str, str]) -> int:
         return int(query.get("limit", "100"))
@@ -56,18 +64,17 @@ class Api:
         return [json.loads(r["value"]) for r in self.store.find(kind, query.get("topic"), self._limit(query)).collect()]
 
     def summary(self, query: dict[str, str]) -> dict:
-        counts = {r["status"]: r["count"] for r in self.store.summary(query.get("topic"), self._limit(query)).collect()}
-        return {"total": sum(counts.values()), "byStatus": counts}
+        counts = {r["status"] or "UNKNOWN": r["count"] for r in self.store.summary(query.get("topic"), self._limit(query)).collect()}
+        return {"total": sum(counts.values()), "counts": counts}
 
     def active(self) -> dict:
-        text = Resolver(self.bootstrap or "", self.control_folder, 0.0).text()
-        source = "control" if text != (self.bootstrap or "") else "bootstrap" if self.bootstrap else "none"
+        text, source = self.control.active()
         return {"active": json.loads(text) if text else None, "source": source}
 
     def apply(self, body: Any) -> dict:
         if not isinstance(body, dict):
             raise ApiError(400, "request body must be a compare config object")
-        publish(self.control_folder, body)
+        self.control.apply(body)
         return {"applied": True}
 
     def answer(self, method: str, target: str, body: bytes) -> tuple[int, Any]:
@@ -90,9 +97,10 @@ def serve(api: Api, port: int, threads: int = 8) -> HTTPServer:
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, value: Any) -> None:
-            data = json.dumps(value).encode()
+            raw = value if isinstance(value, Raw) else Raw("application/json", json.dumps(value))
+            data = raw.text.encode()
             self.send_response(status)
-            for name, text in (("Content-Type", "application/json"), ("Content-Length", str(len(data))), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type")):
+            for name, text in (("Content-Type", raw.kind), ("Content-Length", str(len(data))), ("Access-Control-Allow-Origin", "*"), ("Access-Control-Allow-Methods", "GET, POST, OPTIONS"), ("Access-Control-Allow-Headers", "Content-Type")):
                 self.send_header(name, text)
             self.end_headers()
             self.wfile.write(data)

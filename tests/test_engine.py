@@ -21,7 +21,7 @@ from tandem.sources import readers
 from tandem.sources.findings import StoreRegistry, TableStore
 from tandem.sources.sinks import SinkRegistry
 from tandem.streaming import api as http_api
-from tandem.streaming.control import Resolver, publish
+from tandem.streaming.control import FolderControl, Resolver, publish
 from tandem.streaming.engine import run_job
 from tests.oracle import connect, differences
 
@@ -35,7 +35,7 @@ def compare(mode="ASSUME_ALL", **topic):
 
 
 def fold(messages, config, guid="g"):
-    state = sm.new_state()
+    state = sm.Document()
     for env, kind, sequence, value, ts in messages:
         text = None if value is None else json.dumps({"v": value})
         sm.observe(state, env, "t" if kind == "OUTPUT" else "in", kind, sequence, text and str(hash(text)), text, ts)
@@ -59,14 +59,31 @@ def test_statuses(messages, status, severity):
 
 def test_first_final_state_is_the_last_that_was_new():
     state, _ = fold([out("MAIN", 1), out("MAIN", 2), out("MAIN", 1)], compare())
-    line = state["topics"]["t"]["MAIN"]
-    assert json.loads(sm.final(line["versions"])[2]) == {"v": 2} and line["duplicates"] == 1 and line["versions"][0][2] is None
+    line = state.lines["t", "MAIN"]
+    assert json.loads(sm.final(line)[1]) == {"v": 2} and line.duplicates == 1 and len(line.states) == 2
 
 
 def test_late_states_of_a_sequence_are_dropped():
     state, _ = fold([out("MAIN", 1, "1", 1), out("MAIN", 1, "1", 5), out("MAIN", 2, "1", 3), out("MAIN", 7, "1", 2)], compare())
-    line = state["topics"]["t"]["MAIN"]
-    assert json.loads(line["versions"][0][2]) == {"v": 2} and line["duplicates"] == 1 and line["messages"] == 4
+    line = state.lines["t", "MAIN"]
+    assert json.loads(line.versions["1"].json) == {"v": 2} and line.duplicates == 1 and line.messages == 4
+
+
+@pytest.mark.parametrize("order", [["9.5", "10.5"], ["10.5", "9.5"], ["99999999999999999999", "100000000000000000000"], ["-2", "-1.5", "0", "0.25", "0.3"], ["2", "10", "1a"], ["a", "b"], ["1", "1.0"], ["1e3", "999"]])
+def test_final_sequence_by_default(spark, order):
+    """Whatever the spelling of sequences, batch verdicts are those of the state machine, without a switch."""
+    config = compare(sequencePath="s")
+    for last in (order[-1], order[0]):
+        messages = [(env, "t", {"guid": "g", "s": s, "v": 9 if s == last and env == "LOAD" else 1}, 1) for s in order for env in ("MAIN", "LOAD")]
+        raw = rows_of(spark, messages).withColumn("arrival", F.col("offset"))
+        seen = observe(raw, config)
+        doc = sm.Document()
+        for o in sorted(seen.collect(), key=lambda o: o.arrival):
+            sm.observe(doc, o.env, o.topic, o.kind, o.sequence, o.state_hash, o.state_json, o.ts_millis)
+        (want,) = sm.decide("g", doc, config, 0)
+        (got,) = ve.verdicts(seen, config).collect()
+        assert (got.status, got.severity, got.stats.asDict()) == (want["status"], want["severity"], want["stats"])
+        assert [d.path for d in got.diffs] == [d.path for d in want["diffs"]]
 
 
 def test_cohort():
@@ -81,7 +98,7 @@ def test_cohort():
 def test_revisions_and_decision_time():
     state, _ = fold([out("MAIN", 1), out("LOAD", 1, ts=500)], compare())
     assert sm.decide("g", state, compare(), 1)[0]["revision"] == 2
-    assert sm.decision_time(state, compare().policy) == 1500 and sm.decision_time(sm.new_state(), compare().policy) == -1
+    assert sm.decision_time(state, compare().policy) == 1500 and sm.decision_time(sm.Document(), compare().policy) == -1
 
 
 def rows_of(spark, records):
@@ -105,10 +122,10 @@ def test_batch_equals_state_machine(spark, mode, sequenced):
             records.append((env, "in", {"guid": f"g{r.randrange(44)}"}, 3))
     raw = rows_of(spark, records).withColumn("arrival", F.col("offset"))
     seen = observe(raw, config)
-    got = {(v.guid, v.topic): v for v in ve.verdicts(seen, config, 99, mixed_sequences=sequenced).collect()}
+    got = {(v.guid, v.topic): v for v in ve.verdicts(seen, config, 99).collect()}
     states = {}
     for o in sorted(seen.collect(), key=lambda o: o.arrival):
-        sm.observe(states.setdefault(o.guid, sm.new_state()), o.env, o.topic, o.kind, o.sequence, o.state_hash, o.state_json, o.ts_millis)
+        sm.observe(states.setdefault(o.guid, sm.Document()), o.env, o.topic, o.kind, o.sequence, o.state_hash, o.state_json, o.ts_millis)
     want = {(v["guid"], v["topic"]): v for g, s in states.items() for v in sm.decide(g, s, config, 99)}
     assert set(got) == set(want)
     for k, w in want.items():
@@ -206,7 +223,7 @@ def test_store_and_api(spark, tmp_path):
     assert {r["status"]: r["count"] for r in tail.summary().collect()} == {"DIFF": 1, "EQUAL": 2}
     latest = TableStore(spark, {"verdict": f"{tmp_path}/verdict"}, None, latest=True)
     assert {r["status"]: r["count"] for r in latest.summary(limit=None).collect()} == {"DIFF": 1, "EQUAL": 5}
-    server = http_api.serve(http_api.Api(tail, f"{tmp_path}/control", None), 0)
+    server = http_api.serve(http_api.Api(tail, FolderControl(f"{tmp_path}/control")), 0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
     def call(path, body=None):
@@ -219,7 +236,7 @@ def test_store_and_api(spark, tmp_path):
 
     assert call("/api/health") == (200, {"ok": True}) and call("/nope")[0] == 404
     assert [v["decidedAtMillis"] for v in call("/api/verdicts?topic=t&limit=2")[1]] == [50, 5]
-    assert call("/api/summary")[1] == {"total": 3, "byStatus": {"DIFF": 1, "EQUAL": 2}}
+    assert call("/api/summary")[1] == {"total": 3, "counts": {"DIFF": 1, "EQUAL": 2}}
     assert call("/api/config/active")[1]["source"] == "none" and call("/api/config/validate", {"topics": []})[1]["valid"] is False
     good = {"topics": [{"name": "t", "format": "json", "guidPath": "guid"}]}
     assert call("/api/config/apply", good) == (200, {"applied": True}) and call("/api/config/apply", {"topics": []})[0] == 400
