@@ -34,11 +34,17 @@ def is_flat(value: Column) -> Column:
 
 
 def fields(value: Column) -> Column:
-    """Key and token of each pair of a flat text."""
+    """Key and canonical token of each pair of a flat text."""
     found = [F.regexp_extract_all(value.cast("string"), F.lit(_FIELD), F.lit(i)) for i in (1, 2)]
     return F.zip_with(*found, lambda k, v: F.struct(k.alias("k"), _canonical(v).alias("v")))
 
 
+def once(fields: Column) -> Column:
+    """Whether each key stands there once."""
+    keys = F.transform(fields, lambda x: x["k"])
+    return F.size(F.array_distinct(keys)) == F.size(fields)
+
+
 def _is_text(v: Column) -> Column:
     return v.startswith('"')
 
@@ -49,12 +55,13 @@ def _inner(v: Column) -> Column:
 
 def _plain_number(v: Column) -> Column:
     """A number without exponent and leading zeros; no trailing zeros, no negative zero."""
-    out = F.regexp_replace(v, _FRACTION_ZEROS, "$1")
+    out = F.when(F.contains(v, F.lit(".")), F.regexp_replace(v, _FRACTION_ZEROS, "$1")).otherwise(v)
     return F.when(out == "-0", "0").otherwise(out)
 
 
 def _canonical(v: Column) -> Column:
-    return F.when(v.rlike(r"^-?[0-9]"), _plain_number(v)).otherwise(v)
+    # a token begins with a quote, a minus, a digit or a letter, in this order
+    return F.when((v >= "-") & (v < ":"), _plain_number(v)).otherwise(v)
 
 
 def _to_number(v: Column) -> Column:
@@ -90,23 +97,23 @@ class TopicPlan:
 
     def text_at(self, fields: Column, path: tuple) -> Column:
         """The scalar of a field as text; null if it lacks or is null."""
-        v = F.get(F.filter(fields, lambda x: x["k"] == path[0]), 0)["v"]
-        return F.when(v != "null", F.when(_is_text(v), _inner(v)).otherwise(v))
+        text = lambda x: F.when(x["v"] != "null", F.when(_is_text(x["v"]), _inner(x["v"])).otherwise(x["v"]))
+        return F.get(F.transform(F.filter(fields, lambda x: x["k"] == path[0]), text), 0)
 
     def guid(self, fields: Column) -> Column:
         return self.text_at(fields, self.topic.guid_path)
 
     def sequence(self, fields: Column) -> Column:
-        """Null if there is none, or if a part of it lacks."""
-        paths = self.topic.sequence_paths if self.topic.role != "ENTRY" else ()
-        return F.concat_ws("|", *(self.text_at(fields, p) for p in paths)) if paths else F.lit(None).cast("string")
+        """Null if a part of it lacks; empty if it has none."""
+        parts = [self.text_at(fields, p) for p in self.topic.sequence_paths] if self.topic.role != "ENTRY" else []
+        return F.concat(*[x for p in parts for x in (F.lit("|"), p)][1:]) if parts else F.lit("")
+
+    def has_sequence(self) -> bool:
+        return self.topic.role != "ENTRY" and bool(self.topic.sequence_paths)
 
     def readable(self, fields: Column) -> Column:
-        """Whether all that is required is there, and no rule would have to read an exponent."""
-        needed = [self.topic.guid_path, *(self.topic.sequence_paths if self.topic.role != "ENTRY" else ())]
+        """Whether no rule would have to read an exponent."""
         out = F.lit(True)
-        for p in needed:
-            out &= self.text_at(fields, p).isNotNull()
         for test, effect in self.rules:
             if effect == "number":
                 out &= ~F.exists(F.filter(fields, named(test)), lambda x: x["v"].rlike(rf'^" *{_NUMERIC}[eE][+-]?[0-9]+ *"$'))

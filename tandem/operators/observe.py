@@ -91,20 +91,22 @@ def observe(raw: DataFrame, config: CompareConfig | str | Callable[[], CompareCo
     rows = raw.filter(F.col("topic").isin(list(start.topics))).withColumn("arrival", default_arrival(raw)).select(*keep, "value")
     decode = decoder(active, decoders, normaliser)
     if plans:
+        some = lambda of, kind: by_topic({t: of(p) for t, p in plans.items()}, kind)
+        fields = F.col("fields")
         rows = rows.withColumn("fields", F.when(F.col("topic").isin(list(plans)) & flat.is_flat(F.col("value")), flat.fields(F.col("value"))))
-        keys = F.transform("fields", lambda x: x["k"])
-        readable = by_topic({t: p.readable(F.col("fields")) for t, p in plans.items()}, "boolean")
-        rows = rows.withColumn("flat", F.col("fields").isNotNull() & (F.size(F.array_distinct(keys)) == F.size("fields")) & F.coalesce(readable, F.lit(False)))
-        fast = F.struct(
-            by_topic({t: F.lit(p.topic.role) for t, p in plans.items()}, "string").alias("role"), by_topic({t: p.guid(F.col("fields")) for t, p in plans.items()}, "string").alias("guid"),
-            by_topic({t: p.sequence(F.col("fields")) for t, p in plans.items()}, "string").alias("sequence"),
-            by_topic({t: p.state(F.col("fields")) for t, p in plans.items() if p.topic.role != "ENTRY"}, "string").alias("state_json"), F.lit(None).cast("string").alias("error"),
-        )
+        rows = rows.withColumns({"own_guid": some(lambda p: p.guid(fields), "string"), "own_sequence": some(lambda p: p.sequence(fields), "string")})
+        readable = F.coalesce(flat.once(fields) & some(lambda p: p.readable(fields), "boolean"), F.lit(False))
+        rows = rows.withColumn("flat", fields.isNotNull() & F.col("own_guid").isNotNull() & F.col("own_sequence").isNotNull() & readable)
         rows = rows.withColumn("slow", decode(F.when(~F.col("flat"), F.col("topic")), F.when(~F.col("flat"), F.col("value"))))
-        rows = rows.withColumn("found", F.when(F.col("flat"), fast).otherwise(F.col("slow")))
+        rows = rows.filter("flat or slow.guid is not null or slow.error is not null")
+        sequenced = [t for t, p in plans.items() if p.has_sequence()]
+        fast = {
+            "role": some(lambda p: F.lit(p.topic.role), "string"), "guid": F.col("own_guid"), "sequence": F.when(F.col("topic").isin(sequenced), F.col("own_sequence")),
+            "state_json": by_topic({t: p.state(fields) for t, p in plans.items() if p.topic.role != "ENTRY"}, "string"), "error": F.lit(None).cast("string"),
+        }
+        rows = rows.select(*keep, *(F.when(F.col("flat"), x).otherwise(F.col(f"slow.{n}")).alias(n) for n, x in fast.items()), "value")
     else:
-        rows = rows.withColumn("found", decode(F.col("topic"), F.col("value")))
-    rows = rows.select(*keep, "found.*", "value").filter("guid is not null or error is not null")
+        rows = rows.withColumn("found", decode(F.col("topic"), F.col("value"))).filter("found.guid is not null or found.error is not null").select(*keep, "found.*", "value")
     kind = F.when(F.col("role") == "ENTRY", "ENTRY").when(F.col("role") == "OUTPUT", "OUTPUT")
     if callable(config) or any(t.role == "BOTH" for t in start.topics.values()):
         kind = F.explode(F.when(F.col("role") == "BOTH", F.array(F.lit("ENTRY"), F.lit("OUTPUT"))).otherwise(F.array(kind)))

@@ -187,3 +187,11 @@ def test_api_config():
     for bad in ({"bootstrapServers": "h"}, {"controlTopic": "c"}):
         with pytest.raises(ValueError):
             cf.load_api(bad)
+
+
+def test_type_names():
+    from decimal import Decimal
+
+    from tandem.functions.canon import type_name
+
+    assert [type_name(x) for x in (None, True, "a", Decimal(1), [], {})] == ["null", "boolean", "string", "number", "array", "object"]
