@@ -41,7 +41,7 @@ HOT = 4096  # runs of one minimiser beyond which its windows are dealt out one b
 HOT_BYTES = 512  # in large ones a run for each so many bytes of the bucket's share
 PART_CHUNKS = 1024  # chunks whose hot windows meet in one part of a bucket
 BLOCK_BYTES = 1 << 20  # of a chunk's texts that are hashed at a time
-BATCH_BYTES = 1 << 20  # of strings that an evaluator gets at a time
+BATCH_BYTES = 512 << 10  # of strings that an evaluator gets at a time
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -344,7 +344,46 @@ def same_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray, first: n
     return np.diff(np.concatenate([[0], np.cumsum(differs)])[np.concatenate([[0], ends])]) == 0
 
 
-def sender(kind: Kind, id_col: str, text_col: str, buckets: int, hot_parts: int):
+def long_hash(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of a bigint column (32-bit Murmur3), by which it deals rows out."""
+    u, mask = np.uint64, np.uint64(0xFFFFFFFF)
+
+    def turn(v: np.ndarray, n: int) -> np.ndarray:
+        return (v << u(n) | v >> u(32 - n)) & mask
+
+    h = np.full(len(x), seed, u)
+    x = x.astype(u)
+    for word in (x & mask, x >> u(32)):
+        k = turn(word * u(0xCC9E2D51) & mask, 15) * u(0x1B873593) & mask
+        h = (turn(h ^ k, 13) * u(5) + u(0xE6546B64)) & mask
+    h ^= u(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> u(shift)) * u(factor) & mask
+    return (h ^ h >> u(16)).astype(np.uint32).view(np.int32)
+
+
+def even_labels(buckets: int, parts: int) -> np.ndarray:
+    """Numbers for buckets that Spark deals out evenly over `parts` partitions, where few plain numbers would meet by
+    chance: bucket i goes to partition i modulo parts."""
+    need, tried = -(-buckets // parts), 0
+    while True:
+        tried = max(2 * tried, parts * (need + 8 * int(need**0.5) + 16))
+        where = long_hash(np.arange(tried)) % parts
+        if np.bincount(where, minlength=parts).min() >= need:
+            break
+    order = np.argsort(where, kind="stable")
+    first = np.searchsorted(where[order], np.arange(parts))
+    i = np.arange(buckets)
+    return order[first[i % parts] + i // parts]
+
+
+HOT_KEYS = 1 << 40  # keys from here on are parts of hot windows
+
+
+def sender(kind: Kind, id_col: str, text_col: str, labels: np.ndarray, hot_parts: int):
+    """labels: the key of each bucket. Hot windows' keys are HOT_KEYS and more, by bucket and part, if there are parts."""
+    buckets = len(labels)
+
     @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,11 +392,11 @@ def sender(kind: Kind, id_col: str, text_col: str, buckets: int, hot_parts: int)
                 runs = scan(kind, data, offsets)
                 mark = marks(runs, flags, buckets)
                 some = runs[mark == 1]
-                yield from strings(chunk, ids, some, mix(some.value + U64(1)), buckets, WHOLE)
+                yield from strings(chunk, ids, some, mix(some.value + U64(1)), labels, labels)
                 if (mark == 2).any():
                     hot = scan(kind, data, offsets, np.unique(runs.value[mark == 2]))
-                    part = int(mix(np.array([chunk], U64))[0] % U64(hot_parts)) if hot_parts > 1 else WHOLE
-                    yield from strings(chunk, ids, hot, hot.name, buckets, part)
+                    part = int(mix(np.array([chunk], U64))[0] % U64(hot_parts))
+                    yield from strings(chunk, ids, hot, hot.name, labels, HOT_KEYS + np.arange(buckets) * hot_parts + part if hot_parts > 1 else labels)
 
     return send
 
@@ -388,19 +427,17 @@ def leaders(data: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndar
     return lead
 
 
-WHOLE = -1  # the part of strings that are judged at once; others are parts of hot windows
-
-
-def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, buckets: int, part: int) -> Iterator[pa.RecordBatch]:
-    """Rows for the buckets. Equal strings travel once; those of a larger doc_id are decided here."""
+def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, labels: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets, by their keys. Equal strings travel once; those of a larger doc_id are decided here."""
+    buckets = len(labels)
     if not len(runs.doc):
         return
     own = ids[runs.doc]
     later = own > own[leaders(runs.data, runs.begin, runs.size, runs.name, own)]
-    names = ["bucket", "part", "chunk", "decided", "blob"]
+    names = ["bucket", "chunk", "decided", "blob"]
     if later.any():
         x = runs[later]
-        yield pa.RecordBatch.from_arrays([pa.array([chunk % buckets], pa.int32()), pa.array([WHOLE], pa.int32()), pa.array([chunk], pa.int64()), pa.array([True]), pa.array([squeeze(x.doc.astype(np.uint16), x.unit.astype(np.uint32), x.count.astype(np.uint32))], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([labels[chunk % buckets]], pa.int64()), pa.array([chunk], pa.int64()), pa.array([True]), pa.array([squeeze(x.doc.astype(np.uint16), x.unit.astype(np.uint32), x.count.astype(np.uint32))], pa.binary())], names)
     bucket = (place % U64(buckets)).astype(np.int64)
     sent = np.flatnonzero(~later)
     sent = sent[np.argsort(bucket[sent], kind="stable")]
@@ -411,7 +448,7 @@ def strings(chunk: int, ids: np.ndarray, runs: Scan, place: np.ndarray, buckets:
         x = runs[sent[i:j]]
         blobs.append(squeeze(own[sent[i:j]], x.doc.astype(np.uint16), x.unit.astype(np.uint32), sub[sent[i:j]], x.size.astype(np.uint32), x.count.astype(np.uint8), runs.data[ranges(x.begin, x.size)]))
     n = len(at)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([part] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([False] * n), pa.array(blobs, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(keys[bucket[at]], pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array([False] * n), pa.array(blobs, pa.binary())], names)
 
 
 #: From strings (joined bytes, their sizes, their doc_ids): which windows also start in a smaller doc_id, as indices of
@@ -440,10 +477,10 @@ def judged(home: list[int], blobs: list[bytes]) -> pa.Table:
     return pa.table({"home": pa.array(home, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
-def judge_with(evaluate: Evaluator):
+def judge_with(evaluate: Evaluator, hot_parts: int):
     def judge(key: tuple, rows: pa.Table) -> pa.Table:
         release()  # of the bucket before
-        bucket, part = key[0].as_py(), key[1].as_py()
+        bucket = key[0].as_py()
         decided = rows.column("decided").to_numpy(zero_copy_only=False)
         names = rows.column("chunk").to_numpy()
         home, blobs = names[decided].tolist(), [rows.column("blob")[i].as_py() for i in np.flatnonzero(decided).tolist()]
@@ -453,13 +490,13 @@ def judge_with(evaluate: Evaluator):
             chunk = np.repeat(names[open_rows], [len(p[0]) for p in parts])
             ids, doc, unit, sub, size, count = (np.concatenate([p[k] for p in parts]) for k in range(6))
             data, size = np.concatenate([p[6] for p in parts]), size.astype(np.int64)
-            if part == WHOLE:
+            if bucket < HOT_KEYS:
                 which, window = decide(evaluate, data, size, ids, sub, count.astype(np.int64))
             else:
                 which, same = smallest(data, size, ids)
                 window = np.zeros(len(which), np.int64)
                 begin = np.cumsum(size) - size
-                home.append(-1 - bucket)
+                home.append(-1 - (bucket - HOT_KEYS) // hot_parts)
                 blobs.append(squeeze(ids[same], size[same], data[ranges(begin[same], size[same])], chunk[same], doc[same], unit[same]))
             more = verdict_rows(chunk[which], doc[which], unit[which].astype(np.int64) + window)
             home, blobs = home + more[0], blobs + more[1]
@@ -530,13 +567,18 @@ def batches_of(sub: np.ndarray, size: np.ndarray) -> Iterator[slice]:
 
 def coverage(first: np.ndarray, window: int, blobs: list[bytes]) -> np.ndarray:
     """Which units of a chunk some removed window covers."""
-    step = np.zeros(int(first[-1]) + 1, np.int64)
+    step = np.zeros(int(first[-1]) + 1, np.int32)
     for blob in blobs:
         doc, unit, count = unsqueeze(blob)
         at = first[doc.astype(np.int64)] + unit.astype(np.int64)
         np.add.at(step, at, 1)
         np.add.at(step, at + count.astype(np.int64) + window - 1, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], out=step[:-1]) > 0
+
+
+def sums_at(flags: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many flags there are before each place."""
+    return np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])[places].astype(np.int64)
 
 
 #: From a chunk's rows and what was found of them (n_units, n_removed, n_spans, kept): the rows to return.
@@ -552,13 +594,14 @@ def applier(kind: Kind, id_col: str, text_col: str, finish: Finish | None):
                 text = split(kind, data, offsets)
                 first = text.first
                 gone = coverage(first, kind.window, spans or [])
-                total = np.concatenate([[0], np.cumsum(gone)])
+                total = sums_at(gone, first)
                 head = gone.copy()
                 head[1:] &= ~gone[:-1]
                 head[first[:-1][first[:-1] < len(gone)]] = gone[first[:-1][first[:-1] < len(gone)]]
-                heads = np.concatenate([[0], np.cumsum(head)])
+                heads = sums_at(head, first)
+                del head
                 if kind.unit == "byte":
-                    kept, at = text.data[~gone], first - total[first]
+                    kept, at = text.data[~gone], first - total
                 else:
                     size = text.ends - text.starts + 1
                     size[gone] = 0
@@ -569,7 +612,7 @@ def applier(kind: Kind, id_col: str, text_col: str, finish: Finish | None):
                     last[ends[1:][some] - 1] = True
                     kept = text.data[keep][~last]
                     at = ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
-                counts = {"n_units": np.diff(first), "n_removed": np.diff(total[first]), "n_spans": np.diff(heads[first])}
+                counts = {"n_units": np.diff(first), "n_removed": np.diff(total), "n_spans": np.diff(heads)}
                 found = {n: pa.array(x, pa.int64()) for n, x in counts.items()} | {"kept": binary_column(kept, at, pa.binary())}
                 out = finish(rows, found) if finish else pa.table([*rows.columns, *found.values()], [*rows.column_names, *found])
                 yield from out.to_batches()
@@ -588,6 +631,7 @@ def cut_repeats(docs: DataFrame, id_col: str, text_col: str, kind: Kind, evaluat
     buckets = max(2 * partitions(docs.sparkSession), -(-(size or 0) // BUCKET_BYTES), 1)
     hot = max(HOT, (size or 0) // buckets // HOT_BYTES) if hot is None else hot
     hot_parts = -(-number // part_chunks)
+    labels = even_labels(buckets, max(partitions(docs.sparkSession), 1))
     chunks = chunks.select("chunk", "rows")
     flags = (
         chunks.mapInArrow(counter(kind, id_col, text_col, buckets), "bucket int, chunk long, blob binary")
@@ -596,8 +640,8 @@ def cut_repeats(docs: DataFrame, id_col: str, text_col: str, kind: Kind, evaluat
     )
     verdicts = (
         chunks.join(flags.hint("shuffle_hash"), "chunk")
-        .mapInArrow(sender(kind, id_col, text_col, buckets, hot_parts), "bucket int, part int, chunk long, decided boolean, blob binary")
-        .groupBy("bucket", "part").applyInArrow(judge_with(evaluate), "home long, blob binary")
+        .mapInArrow(sender(kind, id_col, text_col, labels, hot_parts), "bucket long, chunk long, decided boolean, blob binary")
+        .groupBy("bucket").applyInArrow(judge_with(evaluate, hot_parts), "home long, blob binary")
     )
     if hot_parts > 1:
         verdicts = verdicts.groupBy("home").applyInArrow(meet, "home long, blob binary")

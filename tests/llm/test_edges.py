@@ -266,3 +266,11 @@ def test_planted_near_copies_are_found(spark):
         rows.append((10_000 + i, " ".join(w)))
     got = {x.doc_id: x.class_id for x in near_dups.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert same(got.items(), brute_classes(rows))
+
+
+def test_buckets_are_dealt_out_evenly(spark):
+    for buckets, parts in ((102, 51), (24, 12), (7, 4), (1000, 211)):
+        labels = spans.even_labels(buckets, parts)
+        assert len(set(labels.tolist())) == buckets
+        rows = spark.createDataFrame([(int(x),) for x in labels], "label long").select(F.pmod(F.hash("label"), F.lit(parts)).alias("p")).groupBy("p").count().collect()
+        assert max(r["count"] for r in rows) == -(-buckets // parts)
