@@ -53,14 +53,19 @@ def kafka_sink(options: dict[str, str]) -> Sink:
     return write
 
 
+def authorization(options: dict[str, str]) -> dict[str, str]:
+    """The header that the options apiKey, or username and password, ask for."""
+    if options.get("apiKey"):
+        return {"Authorization": "ApiKey " + options["apiKey"]}
+    if options.get("username"):
+        return {"Authorization": "Basic " + base64.b64encode(f"{options['username']}:{options.get('password', '')}".encode()).decode()}
+    return {}
+
+
 def elasticsearch_sink(options: dict[str, str]) -> Sink:
     """PUT each finding under its key, so that a later one of a key replaces it; an error of the server fails the task."""
     url, index = _need(options, "url", "elasticsearch").rstrip("/"), _need(options, "index", "elasticsearch")
-    headers = {"Content-Type": "application/json"}
-    if options.get("apiKey"):
-        headers["Authorization"] = "ApiKey " + options["apiKey"]
-    elif options.get("username"):
-        headers["Authorization"] = "Basic " + base64.b64encode(f"{options['username']}:{options.get('password', '')}".encode()).decode()
+    headers = {"Content-Type": "application/json"} | authorization(options)
 
     def write(batch: DataFrame) -> None:
         def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from typing import Any
 
 from tandem.functions.rules import RuleTypes
 from tandem.plans.config import load_compare
-from tandem.sources.findings import TableStore
+from tandem.sources.findings import ElasticsearchStore, TableStore
 from tandem.streaming import openapi
 from tandem.streaming.control import FolderControl, KafkaControl
 
@@ -31,7 +31,7 @@ class Raw:
 class Api:
     """Routes by method and path; each is called with the query's values and the body."""
 
-    def __init__(self, store: TableStore, control: FolderControl | KafkaControl, types: RuleTypes | None = None):
+    def __init__(self, store: TableStore | ElasticsearchStore, control: FolderControl | KafkaControl, types: RuleTypes | None = None):
         self.store, self.control, self.types = store, control, types or RuleTypes.standard()
         self.routes: dict[str, Callable[[dict[str, str], Any], Any]] = {
             "GET /api/health": lambda q, b: {"ok": True},
@@ -61,11 +61,11 @@ class Api:
         return int(query.get("limit", "100"))
 
     def found(self, kind: str, query: dict[str, str]) -> list[dict]:
-        return [json.loads(r["value"]) for r in self.store.find(kind, query.get("topic"), self._limit(query)).collect()]
+        return self.store.values(kind, query.get("topic"), self._limit(query))
 
     def summary(self, query: dict[str, str]) -> dict:
-        counts = {r["status"] or "UNKNOWN": r["count"] for r in self.store.summary(query.get("topic"), self._limit(query)).collect()}
-        return {"total": sum(counts.values()), "counts": counts}
+        total, counts = self.store.counts(query.get("topic"), self._limit(query))
+        return {"total": total, "counts": counts}
 
     def active(self) -> dict:
         text, source = self.control.active()

@@ -263,6 +263,56 @@ def test_routes_keep_the_contract(spark, tmp_path):
         server.shutdown()
 
 
+def test_findings_stores(spark):
+    """The search that the Elasticsearch store asks for, and the tail of a topic, without either system."""
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tandem.plans.config import ApiConfig, Endpoint
+    from tandem.sources.findings import ElasticsearchStore, KafkaStore, StoreRegistry
+
+    asked = []
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"hits": {"total": {"value": 3}, "hits": [{"_source": {"guid": "g"}}]}, "aggregations": {"status": {"buckets": [{"key": "DIFF", "doc_count": 3}]}}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    end = Endpoint("c", "h", {})
+    config = lambda kind, **options: ApiConfig(0, end, end, end, None, None, 3, "latest", kind, options)
+    registry = StoreRegistry.standard()
+    store = registry.create(spark, config("Elasticsearch", url=f"http://127.0.0.1:{server.server_port}/", index="i", username="u", password="p"))
+    assert store.values("rollup", "t", 7) == [{"guid": "g"}] and store.counts() == (3, {"DIFF": 3})
+    server.shutdown()
+    assert [a[:2] for a in asked] == [("/i/_search", "Basic dTpw")] * 2
+    assert asked[0][2] == {"size": 7, "sort": [{"windowStartMillis": {"order": "desc"}}], "query": {"bool": {"filter": [{"term": {"type.keyword": "rollup"}}, {"term": {"topic.keyword": "t"}}]}}}
+    assert asked[1][2]["size"] == 0 and asked[1][2]["query"] == {"bool": {"filter": [{"term": {"type.keyword": "verdict"}}]}}
+    with pytest.raises(ValueError, match="url"):
+        ElasticsearchStore({})
+    if not readers.has_kafka(spark):
+        with pytest.raises(RuntimeError, match="spark-sql-kafka"):
+            registry.create(spark, config("kafka-tail"))
+
+    class Tail(KafkaStore):
+        def __init__(self):
+            self.spark, self.tail, self.endpoints = spark, 3, {"verdict": end}
+
+        def records(self, kind):
+            if not self.endpoints.get(kind):
+                return super().records(kind)
+            rows = [("k", json.dumps({"type": "verdict", "topic": "t", "status": s, "decidedAtMillis": i}), i // 2, 0, i) for i, s in enumerate(["EQUAL", "DIFF", "DIFF", "EQUAL"])] + [("k", "no json", 9, 0, 9)]
+            return spark.createDataFrame(rows, "key string, value string, timestamp long, partition int, offset long")
+
+    assert [v["decidedAtMillis"] for v in Tail().values("verdict")] == [3, 2, 1] and Tail().counts("t") == (3, {"DIFF": 2, "EQUAL": 1}) and Tail().values("rollup") == []
+
+
 def test_flat_records_equal_the_decoder_in_python(spark):
     """Column expressions against the decoder, on texts that are flat, nearly flat and broken."""
     import random
