@@ -57,7 +57,9 @@ NOTICES = [
 ]
 #: Notices, and the tag of each license that they name.
 TEMPLATES = NOTICES + [(name, f"SPDX-License-Identifier: {name}") for name in sorted({n for n, _ in NOTICES})]
-LEAST = 0.6
+#: Words of any English text, which make poor anchors.
+COMMON = "a above all an and any are as at be by can do either except file files following for found free in including into is it later may not of on or person persons public so that the this to use version with work you your".split()
+LEAST = 0.7
 WRAP, WRAP_TERMS = 4, 60
 TERM = "[a-z0-9]+"
 LICENSE_FILE = "(?i)^(license|licence|copying|notice)"
@@ -82,7 +84,7 @@ def anchors() -> list[str]:
     found: set[str] = set()
     for _, terms in _SETS:
         total = rest = sum(SQUARES[t] for t in terms)
-        for t in sorted(terms, key=lambda t: (t not in found, -len(t), t)):  # long words are rare in other texts
+        for t in sorted(terms, key=lambda t: (t not in found, t in COMMON, -len(t), t)):  # long words are rare in other texts
             if rest < LEAST**2 * total:
                 break
             found.add(t)
