@@ -45,35 +45,42 @@ def _zero(x: Column) -> Column:
 
 
 def states(rows: DataFrame) -> DataFrame:
-    """Distinct states of each line without sequence (state, json, n, first), and rows with a null state that stand for
-    entries and for messages with a sequence; all with the times of their messages."""
+    """A row for each distinct state without sequence of a document and topic: state (its hash), json, and of each side n
+    messages and the first arrival; also rows with a null state, which stand for entries and for messages with a
+    sequence. All with the times of their messages."""
     rows = rows.withColumn("state", F.when((F.col("kind") == "OUTPUT") & F.col("sequence").isNull(), F.col("state_hash")))
-    json = F.when(F.col("state").isNotNull(), F.col("state_json"))
-    return rows.groupBy("guid", "topic", "env", "kind", "state").agg(F.count("*").alias("n"), F.min("arrival").alias("first"), F.min_by(json, "arrival").alias("json"), F.min("ts_millis").alias("since"), F.max("ts_millis").alias("until"))
+    sides = [x for s in SIDES for x in (F.count(F.when(_of(s), 1)).alias(f"{s}_n"), F.min(F.when(_of(s), F.col("arrival"))).alias(f"{s}_first"))]
+    # one hash has one JSON, so any of them will do
+    json = F.any_value(F.when(F.col("state").isNotNull(), F.col("state_json")))
+    return rows.groupBy("guid", "topic", "kind", "state").agg(*sides, json.alias("json"), F.min("ts_millis").alias("since"), F.max("ts_millis").alias("until"))
 
 
-def timeline(own: Column) -> dict[str, Column]:
-    """Aggregates over the states of a line: the final state is the last that was new when it arrived."""
-    own = own & F.col("state").isNotNull()
-    pick = lambda c: F.max_by(c, F.when(own, F.col("first")))
-    messages, kinds = _zero(F.sum(F.when(own, F.col("n")))), F.count(F.when(own, 1))
-    return {"messages": messages, "distinct_states": kinds, "duplicates": messages - kinds, "hash": pick("state"), "json": pick("json"), "hashes": F.array_sort(F.collect_list(F.when(own, F.col("state"))))}
-
-
-def unsequenced_timelines(observed: DataFrame) -> DataFrame:
-    """(guid, topic, env, messages, distinct_states, duplicates, hash, json, hashes) of lines without sequences."""
-    own = timeline(F.lit(True))
-    return states(dealt(observed)).groupBy("guid", "topic", "env").agg(*(x.alias(n) for n, x in own.items())).filter("messages > 0")
+def timeline(side: str) -> dict[str, Column]:
+    """Aggregates over one side's states: the final state is the last that was new when it arrived."""
+    has = F.col("state").isNotNull() & (F.col(f"{side}_n") > 0)
+    pick = lambda c: F.max_by(c, F.when(has, F.col(f"{side}_first")))
+    messages, kinds = _zero(F.sum(F.when(has, F.col(f"{side}_n")))), F.count(F.when(has, 1))
+    return {"messages": messages, "distinct_states": kinds, "duplicates": messages - kinds, "hash": pick("state"), "json": pick("json")}
 
 
 def paired_unsequenced(rows: DataFrame) -> DataFrame:
     """A row for each document and topic that has entries or messages without sequence, with both sides' timelines;
-    entered_main, entered_load, since and until of all its messages."""
-    sides = {f"{s}_{n}": x for s in SIDES for n, x in timeline(_of(s)).items()}
-    entered = {f"entered_{s}": F.max((F.col("kind") == "ENTRY") & _of(s)) for s in SIDES}
-    both = states(rows).groupBy("guid", "topic").agg(*(x.alias(n) for n, x in (sides | entered).items()), F.min("since").alias("since"), F.max("until").alias("until"))
+    entered_main, entered_load, since and until of all its messages. No list of states is held: two sides have the same
+    states if each state has both."""
+    sides = {f"{s}_{n}": x for s in SIDES for n, x in timeline(s).items()}
+    entered = {f"entered_{s}": F.max((F.col("kind") == "ENTRY") & (F.col(f"{s}_n") > 0)) for s in SIDES}
+    same = F.coalesce(F.min(F.when(F.col("state").isNotNull(), (F.col("main_n") > 0) == (F.col("load_n") > 0))), F.lit(True))
+    both = states(rows).groupBy("guid", "topic").agg(*(x.alias(n) for n, x in (sides | entered).items()), same.alias("same_states"), F.min("since").alias("since"), F.max("until").alias("until"))
     zero = F.lit(0).cast("long")
-    return both.withColumns({"sequenced": F.lit(False), "same_states": F.col("main_hashes") == F.col("load_hashes"), "missing": zero, "extra": zero, "pairs": F.array().cast(PAIRS)}).drop("main_hashes", "load_hashes")
+    return both.withColumns({"sequenced": F.lit(False), "missing": zero, "extra": zero, "pairs": F.array().cast(PAIRS)})
+
+
+def unsequenced_timelines(observed: DataFrame) -> DataFrame:
+    """(guid, topic, env, messages, distinct_states, duplicates, hash, json) of lines without sequences."""
+    columns = ("messages", "distinct_states", "duplicates", "hash", "json")
+    sides = F.array(*(F.struct(F.lit(s.upper()).alias("env"), *(F.col(f"{s}_{c}").alias(c) for c in columns)) for s in SIDES))
+    each = paired_unsequenced(dealt(observed)).select("guid", "topic", F.explode(F.filter(sides, lambda x: x["messages"] > 0)).alias("side"))
+    return each.select("guid", "topic", "side.*")
 
 
 def folded(messages: Column, states: Column) -> Column:

@@ -168,6 +168,21 @@ def job_text(tmp_path):
     return json.dumps({"compare": BASE, "main": servers, "load": servers, "control": servers | {"topic": "c"}, "results": {"type": "logging"}})
 
 
+def test_all_clusters_are_one_source(spark, monkeypatch):
+    """Both environments' clusters, each with its own topics, and logical names for physical ones."""
+    servers = lambda *names: {"clusters": [{"bootstrapServers": n, "topics": [t], "topicPrefix": f"{n}."} for n, t in names]}
+    config = load_job({"compare": BASE, "main": servers(("m1", "t"), ("m2", "q")), "load": {"bootstrapServers": "l", "topicOverrides": {"t": "other"}}, "control": {"bootstrapServers": "h", "topic": "c"}, "results": {"type": "logging"}})
+
+    def fake(session, cluster, env, streaming=True):
+        rows = [(p, b"k", b"v", 1, 0, 7) for p in sorted(cluster.logical())]
+        return readers.tagged(session.createDataFrame(rows, "topic string, key binary, value binary, ts_millis long, partition int, offset long"), env, cluster.logical())
+
+    monkeypatch.setattr(readers, "kafka", fake)
+    found = readers.job_source(spark, config, streaming=False)
+    assert sorted((r.env, r.topic) for r in found.collect()) == [("LOAD", "q"), ("LOAD", "t"), ("MAIN", "q"), ("MAIN", "t")]
+    assert found.columns == ["env", "topic", "key", "value", "ts_millis", "partition", "offset"]
+
+
 # ---- plug-ins ---------------------------------------------------------------------------------------------------
 
 
