@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.util import discard, stored
+from tandem.llm.util import discard, partitions, stored
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 ORDER = 5  # characters of context
+URLS = 20_000  # that a task spells out into positions, about
 BEGIN, END = "\x02", "\x03"
 HELD = "012"  # first hex digits of a URL's MD5 that hold it out while the cut is calibrated
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,8 +106,10 @@ def filter_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
     held = F.coalesce(F.substring(F.md5(url), 1, 1).isin(list(HELD)), F.lit(False))
     urls = urls.select(url, labelled(with_parts(url)["rule"]).alias("label"), held.alias("held"), model_text(url).alias("text"))
     urls = stored(urls.withColumn("place", F.monotonically_increasing_id()), "urls")
-    grams = gram_scores(urls)
-    judged = urls.filter("label is null or held").select("place", "label", "text")
+    # a URL becomes many rows, so a file of URLs is too much for a task
+    spread = urls.repartition(max(partitions(pages.sparkSession), -(-urls.count() // URLS)))
+    grams = gram_scores(spread)
+    judged = spread.filter("label is null or held").select("place", "label", "text")
     points = positions(judged).join(grams, ["context", "c"]).groupBy("place", "label").agg(F.round(F.sum(F.when(F.col("label").isNull(), F.col("final")).otherwise(F.col("calibrating"))) / F.count("*")).cast("long").alias("points"))
     points = stored(points, "url-scores")
     means = {r["label"]: r["total"] / r["n"] for r in points.filter("label is not null").groupBy("label").agg(F.sum("points").alias("total"), F.count("*").alias("n")).collect()}
