@@ -458,10 +458,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the row that stands for a class has its smallest id; of several nodes with that id, the smallest node
     heads = classes.filter(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("node").alias("__head"), F.first("class_id").alias("__class"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    named = docs.mapInArrow(namer(text_col, False), f"{schema}, __node binary")
-    none = named.filter("__node is null").drop("__node")
-    kept = named.filter("__node is not null").join(heads.drop("label"), (F.col("__node") == F.col("__head")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__class")))
-    return kept.dropDuplicates(["__node", id_col]).select(docs.columns).unionAll(none)
+    # texts without words all stay, so each has a key of its own
+    own = F.concat_ws("-", F.lit(""), F.col(f"`{id_col}`").cast("string"), F.monotonically_increasing_id().cast("string")).cast("binary")
+    named = docs.mapInArrow(namer(text_col, False), f"{schema}, __node binary").withColumn("__key", F.coalesce("__node", own))
+    kept = named.join(heads.drop("label"), (F.col("__key") == F.col("__head")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__class")), "left")
+    return kept.filter("__node is null or __head is not null").dropDuplicates(["__key", id_col]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
