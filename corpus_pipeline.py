@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import byte_bpe, decontaminate, near_dups, suffix_dedup, toxicity
-from tandem.llm.util import stored
+from tandem.llm.util import discard, stored
 
 
 def retold(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The result of all stages; a stage's table goes when the next one's is written, the last one's stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
