@@ -99,14 +99,14 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
 
 def test_state_ends_after_its_time_to_live(spark, tmp_path):
     feed = Feed(spark, tmp_path)
-    queries = engine.run_job(feed.raw, job(tmp_path, stateTtlMillis=6000, rollups=None), str(tmp_path / "job"))
+    queries = engine.run_job(feed.raw, job(tmp_path, stateTtlMillis=15000, rollups=None), str(tmp_path / "job"))
     try:
         feed.send([("MAIN", "q", {"guid": "1", "s": 1, "v": 1}, 1), ("LOAD", "q", {"guid": "1", "s": 1, "v": 1}, 1)])
         feed.until("results", lambda f: len(f) == 1)
         feed.send([("MAIN", "q", {"guid": "1", "s": 10, "v": 2}, 5), ("MAIN", "q", {"guid": "1", "s": 9, "v": 3}, 5)])
         second = feed.until("results", lambda f: len(f) == 2)
         assert sorted((v["status"], v["revision"], v["stats"]["mainMessages"]) for v in second) == [("DIFF", 2, 3), ("EQUAL", 1, 1)]
-        time.sleep(9)
+        time.sleep(19)
         feed.send([("LOAD", "q", {"guid": "1", "s": 1, "v": 1}, 1)])
         third = feed.until("results", lambda f: len(f) == 3)
         assert [(v["status"], v["revision"], v["stats"]["mainMessages"]) for v in third if v not in second] == [("EXTRA_IN_LOAD", 1, 0)]
